@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import packing, sharding, substring_dedup, suffix_dedup
 from .shared import table
 
 QUERIES = {
     "op2_substring_dedup": lambda s, d: substring_dedup.digest(table(s, d, "documents")),
+    "op7_sharding": lambda s, d: sharding.assign(table(s, d, "documents")),
+    "op9_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op10_suffix_dedup": lambda s, d: suffix_dedup.digest(table(s, d, "documents")),
 }
 SQL: dict[str, str] = {}
