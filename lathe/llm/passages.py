@@ -35,10 +35,10 @@ from .shared import Scratch, mix, pack_batches, unpack
 
 BASE = 0x9E3779B97F4A7C15 | 3
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 20
+SLICE = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 #: Entries that one range of anchors holds, about; sets the number of ranges.
-RANGE_ENTRIES = 1_200_000
+RANGE_ENTRIES = 500_000
 #: Sampled anchors for the splitters; they set the balance of ranges only.
 SPLITTER_SAMPLE = 20_000
 
@@ -88,8 +88,8 @@ def word_tokens(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     ends[edges - 1] = inside[edges - 1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     hashes = np.empty(len(first), np.uint64)
-    for lo in range(0, len(first), SLICE // 4):
-        a, b = first[lo : lo + SLICE // 4], last[lo : lo + SLICE // 4]
+    for lo in range(0, len(first), SLICE):
+        a, b = first[lo : lo + SLICE], last[lo : lo + SLICE]
         base = a[0]
         up, down = powers(int(b[-1] - base))
         run = prefix(TABLE[data[base : b[-1]]], up)
