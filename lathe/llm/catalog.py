@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import neighbours, packing, quality, sharding, substring_dedup, suffix_dedup
+from . import neighbours, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup
 from .shared import table
 
 QUERIES = {
     "op2_substring_dedup": lambda s, d: substring_dedup.digest(table(s, d, "documents")),
+    "op5_simhash_dedup": lambda s, d: simhash_dedup.classes(table(s, d, "documents")),
     "op6_nearest_neighbours": lambda s, d: neighbours.search(table(s, d, "embeddings"), "vec_id % 50 = 0"),
     "op7_sharding": lambda s, d: sharding.assign(table(s, d, "documents")),
     "op8_quality": lambda s, d: quality.classify(table(s, d, "documents"), table(s, d, "labels")),
