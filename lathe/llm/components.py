@@ -52,7 +52,7 @@ def _forest(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(node, root) for each node of an edge (u, v); root is the smallest node of its component. Self-edges and repeated edges are fine."""
+    """(node, root) for each node of an edge (u, v) between two nodes; root is the smallest node of its component. Self-edges and repeated edges are fine."""
     spark = edges.sparkSession
     live = scratch.table(_forest(edges.select("u", "v")), f"{name}-0")
     maps: list[DataFrame] = []
@@ -83,4 +83,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     for hook in reversed(maps[:-1]):
         late = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
         out = out.unionByName(hook.join(late, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-    return scratch.table(out, name)
+    own = out.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    return scratch.table(out.unionByName(own), name)

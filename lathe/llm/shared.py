@@ -39,6 +39,15 @@ class Scratch:
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def batches(self, df: DataFrame) -> DataFrame:
+        """The table of pack_batches, bucketed by batch_id: what is grouped by it isn't shuffled again."""
+        path, name = f"{self.root}/batches", f"lathe_{uuid.uuid4().hex}"
+        buckets = min(max(4, 4 * df.rdd.getNumPartitions()), 1 << 16)
+        df.write.format("parquet").option("path", path).option("compression", "none").bucketBy(buckets, "batch_id").saveAsTable(name)
+        table = self.spark.table(name)
+        self.spark.sql(f"drop table {name}")  # the name only: the files and the resolved plan stay
+        return table
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
