@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, neighbours, packing, quality, sharding, simhash_dedup, substring_dedup, suffix_dedup
+from . import line_dedup, neighbours, packing, quality, sentencepiece_fst, sharding, simhash_dedup, substring_dedup, suffix_dedup
 from .shared import table
 
 QUERIES = {
     "op2_substring_dedup": lambda s, d: substring_dedup.digest(table(s, d, "documents")),
+    "op3_sentencepiece": lambda s, d: sentencepiece_fst.digest(table(s, d, "documents")),
     "op4_line_dedup": lambda s, d: line_dedup.digest(table(s, d, "documents")),
     "op5_simhash_dedup": lambda s, d: simhash_dedup.classes(table(s, d, "documents")),
     "op6_nearest_neighbours": lambda s, d: neighbours.search(table(s, d, "embeddings"), "vec_id % 50 = 0"),
