@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, neighbours, packing, quality, sentencepiece_fst, sharding, simhash_dedup, substring_dedup, suffix_dedup
+from . import chroma, line_dedup, neighbours, packing, quality, sentencepiece_fst, sharding, simhash_dedup, substring_dedup, suffix_dedup
 from .shared import table
 
 QUERIES = {
+    "op1_chroma_fingerprints": lambda s, d: chroma.classes(table(s, d, "documents")),
     "op2_substring_dedup": lambda s, d: substring_dedup.digest(table(s, d, "documents")),
     "op3_sentencepiece": lambda s, d: sentencepiece_fst.digest(table(s, d, "documents")),
     "op4_line_dedup": lambda s, d: line_dedup.digest(table(s, d, "documents")),
