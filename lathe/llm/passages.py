@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mix, pack_batches, unpack
+from .shared import Scratch, mix, pack_batches, release, unpack
 
 BASE = 0x9E3779B97F4A7C15 | 3
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -217,6 +217,8 @@ def send(batches: DataFrame, spec: Spec, ranges: int) -> DataFrame:
                     [pa.array([b["batch_id"]] * len(used), pa.int64()), pa.array(used.astype(np.int32)), pa.array(np.diff(cut)[used].astype(np.int64)), pa.array(cells, pa.binary())],
                     names=["batch_id", "part", "n", "cell"],
                 )
+                del v, cells
+                release()
 
     return batches.mapInArrow(run, "batch_id long, part int, n long, cell binary")
 
@@ -255,6 +257,8 @@ def answer_chunks(sent: DataFrame, spec: Spec) -> DataFrame:
         kinds = np.add.reduceat(cnew.astype(np.int64), np.flatnonzero(anew))
         more[order] = np.repeat(kinds > 1, np.diff(np.concatenate([np.flatnonzero(anew), [total]])))
         m = len(cells)
+        del ah, ch, ids, order, a, c, d
+        release()
         return pa.table(
             [
                 pa.array(batch),
@@ -313,6 +317,8 @@ def send_texts(batches: DataFrame, answers: DataFrame, spec: Spec, ranges: int,
                 idx = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
                 head = np.stack([e, v.ids[v.doc[c]], start, count, anchor - start]).astype(np.int64)
                 out.append((b["batch_id"], int(p), len(e), _pack(head, v.tokens[idx])))
+            del v
+        release()
         columns = list(zip(*out)) if out else [[], [], [], []]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
@@ -402,6 +408,8 @@ def answer_texts(texts: DataFrame, spec: Spec) -> DataFrame:
             lo = hi
         cut = np.concatenate([[0], np.cumsum(ns)])
         m = len(ns)
+        del tokens, toks, vals, run_
+        release()
         return pa.table(
             [
                 group["batch_id"],
@@ -456,14 +464,13 @@ def repeated(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
     assert spec.window - spec.gram + 1 <= 64
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    batches = scratch.table(pack_batches(docs), "batches")
+    batches = scratch.batches(pack_batches(docs))
     size = batches.agg(F.sum("n_bytes")).first()[0] or 0
     tokens = size / 6 if spec.words else size
     ranges = max(4, round(tokens * 2 / (spec.window - spec.gram + 2) / RANGE_ENTRIES))
-    slices = batches.rdd.getNumPartitions()
     answers = scratch.table(answer_chunks(send(batches, spec, ranges), spec), "chunks")
     splitters = sample_splitters(batches, spec, ranges)
-    texts = send_texts(batches.repartition(max(slices, 6), "batch_id"), answers, spec, ranges, splitters)
+    texts = send_texts(batches, answers, spec, ranges, splitters)
     masks = scratch.table(answer_texts(texts, spec), "masks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -477,10 +484,12 @@ def repeated(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
                 if r["kind"] == 1:
                     bits[np.frombuffer(r["late"], np.int64)] = np.frombuffer(r["more"], np.uint64)
             out.append(finish(v, covered(v, spec, late, bits)))
+            del v, late, bits
+        release()
         return pa.concat_tables(out) if out else finish(view(b"", b"", b"", spec), np.zeros(0, bool))
 
     both = answers.unionByName(masks)
-    return batches.repartition(max(slices, 6), "batch_id").groupBy("batch_id").cogroup(both.groupBy("batch_id")).applyInArrow(run, schema)
+    return batches.groupBy("batch_id").cogroup(both.groupBy("batch_id")).applyInArrow(run, schema)
 
 
 def sample_splitters(batches: DataFrame, spec: Spec, ranges: int) -> np.ndarray:
