@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 ROUNDS = 60
+#: A forest of at most so many edges is finished by one task; a larger one goes by rounds.
+ONE_TASK = 400_000
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     live = scratch.table(_forest(edges.select("u", "v")), f"{name}-0")
     maps: list[DataFrame] = []
     for i in range(1, ROUNDS):
-        if live.isEmpty():
+        edges_left = live.count()
+        if not edges_left:
+            break
+        if edges_left <= ONE_TASK:
+            maps.append(scratch.table(_forest(live.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("root")), f"{name}-last"))
             break
         # every node with a smaller neighbour hooks onto its smallest
         hook = live.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root")).groupBy("node").agg(F.min("root").alias("root"))

@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .components import components, roots
 from .passages import ANSWER, TABLE, _delta, _pack, _unpack, powers, prefix, range_of
-from .shared import Scratch, mix, pack_batches, unpack
+from .shared import Scratch, mix, pack_batches, release, unpack
 
+#: 8 bytes are one 64-bit word, so that sets of shingles are exact.
 SHINGLE = 8
 BINS = 64
-ROWS = 3
+ROWS = 4
 BANDS = BINS // ROWS
 THRESHOLD = 0.75
 #: Sketches may fall short of the threshold by this before a pair is left out (four standard deviations).
@@ -60,8 +61,11 @@ class Lines:
         self.end = np.where(ends, self.at[self.doc + 1], np.append(self.start[1:], n) - 1) if len(order) else self.start
         self.count = np.bincount(self.doc, minlength=len(self.ids)) if len(self.doc) else np.zeros(len(self.ids), np.int64)
         self.first_of_doc = np.concatenate([[0], np.cumsum(self.count)])
-        space = np.concatenate([[0], np.cumsum((data == 32) | ((data >= 9) & (data <= 13)))])
-        self.blank = space[self.end] - space[self.start] == self.end - self.start
+        self.blank = self.end == self.start
+        some = np.flatnonzero(~self.blank)
+        if len(some):  # from one line's start to the next there is but its line feed besides
+            inked = (data > 32) | (data < 9) | ((data > 13) & (data < 32))
+            self.blank[some] = ~np.logical_or.reduceat(inked, self.start[some])
         self.hash = self._hashes(data)
         live = np.flatnonzero(~self.blank)
         order = live[np.argsort(self.hash[live], kind="stable")]
@@ -86,26 +90,37 @@ class Lines:
     def signatures(self, which: np.ndarray) -> np.ndarray:
         """(lines x BINS) smallest hashes of shingles; a line shorter than a shingle is one shingle."""
         data = np.frombuffer(self.raw, np.uint8)
-        out = np.full((len(which), BINS), 0xFFFFFFFF, np.uint32)
-        size = self.end[which] - self.start[which]
+        out = np.full((len(which) + 1, BINS), 0xFFFFFFFF, np.uint32)  # the last row takes what is no shingle
+        flat, spare = out.reshape(-1), len(which)
+        by = np.argsort(self.start[which], kind="stable")
+        start, end = self.start[which][by], self.end[which][by]
         i = 0
-        while i < len(which):
-            j = i + max(1, int(np.searchsorted(np.cumsum(size[i : i + SLICE]), SLICE)))
-            some = which[i:j]
-            n = size[i:j]
-            at = np.cumsum(n) - n
-            idx = np.repeat(self.start[some] - at, n) + np.arange(n.sum())
-            up, down = powers(len(idx))
-            run = prefix(TABLE[data[idx]], up)
-            m = np.maximum(n - SHINGLE + 1, 1)
-            line = np.repeat(np.arange(len(some)), m)
-            begin = np.repeat(at - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            stop = np.minimum(begin + SHINGLE, (at + n)[line])
-            h = mix((run[stop] - run[begin]) * down[begin])
-            cell = line * BINS + (h >> np.uint64(58)).astype(np.int64)
-            np.minimum.at(out[i:j].reshape(-1), cell, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        while i < len(by):
+            base = int(start[i])
+            j = max(i + 1, int(np.searchsorted(start, base + SLICE)))
+            a, b = start[i:j] - base, end[i:j] - base
+            size = int(b[-1])
+            up, down = powers(size + SHINGLE)
+            run = prefix(TABLE[data[base : base + size]], up)
+            short = np.flatnonzero(b - a < SHINGLE)
+            if len(short):
+                h = mix((run[b[short]] - run[a[short]]) * down[a[short]] + (b - a)[short].astype(np.uint64))
+                flat[by[i + short] * BINS + (h >> np.uint64(58)).astype(np.int64)] = (h & np.uint64(0xFFFFFFFE)).astype(np.uint32)
+            if size >= SHINGLE:
+                h = (run[SHINGLE:] - run[:-SHINGLE]) * down[: size - SHINGLE + 1]
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(0xD6E8FEB86659FD93)
+                m = np.maximum(b - a - SHINGLE + 1, 0)
+                edges = np.stack([a, a + m], 1).ravel()  # shingles of a line, then places that start none
+                counts = np.diff(np.append(edges, len(h))) if edges[-1] <= len(h) else None
+                if counts is None or (counts < 0).any():
+                    edges = np.minimum(edges, len(h))
+                    counts = np.maximum(np.diff(np.append(edges, len(h))), 0)
+                owner = np.repeat(np.stack([by[i:j], np.full(j - i, spare)], 1).ravel() * BINS, counts)
+                h = h[edges[0] :]
+                np.minimum.at(flat, owner + (h >> np.uint64(58)).astype(np.int64), ((h >> np.uint64(20)) & np.uint64(0xFFFFFFFE)).astype(np.uint32))
             i = j
-        return densify(out)
+        return densify(out[:-1])
 
 
 def densify(sig: np.ndarray) -> np.ndarray:
@@ -128,24 +143,23 @@ def densify(sig: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(lines x BANDS) 64-bit keys."""
+    """(lines x BANDS) 64-bit keys; the lowest five bits are the band's number."""
     out = np.zeros((len(sig), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(sig), b + 1, np.uint64)
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * ROWS + r])
-        out[:, b] = key
+        out[:, b] = key & ~np.uint64(31) | np.uint64(b)
     return out
 
 
-def _entries(v: Lines, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, cut, signatures, line hashes): the band keys of distinct lines in the order of keys, cut by range."""
-    sig = v.signatures(v.first)
-    keys = band_keys(sig).ravel()
+def _entries(v: Lines, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, cut, line hashes): the band keys of distinct lines in the order of keys, cut by range."""
+    keys = band_keys(v.signatures(v.first)).ravel()
     line = np.repeat(np.arange(len(v.first)), BANDS)
     order = np.argsort(keys, kind="stable")
     keys, line = keys[order], line[order]
-    return keys, line, np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1)), sig, v.hash[v.first]
+    return keys, line, np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1)), v.hash[v.first]
 
 
 def _send(batches: DataFrame, ranges: int) -> DataFrame:
@@ -153,7 +167,7 @@ def _send(batches: DataFrame, ranges: int) -> DataFrame:
         for rows in it:
             for b in rows.to_pylist():
                 v = Lines(b["doc_ids"], b["sizes"], b["blob"])
-                keys, line, cut, _, hashes = _entries(v, ranges)
+                keys, line, cut, hashes = _entries(v, ranges)
                 where = np.searchsorted(range_of(hashes, ranges), np.arange(ranges + 1))
                 ids = v.ids[v.doc[v.first]]
                 out = []
@@ -162,6 +176,8 @@ def _send(batches: DataFrame, ranges: int) -> DataFrame:
                     if k.stop > k.start or own.stop > own.start:
                         tag = (hashes[line[k]] >> np.uint64(32)).astype(np.uint32)
                         out.append((b["batch_id"], p, k.stop - k.start, own.stop - own.start, _pack(_delta(keys[k]), tag, _delta(hashes[own]), ids[own])))
+                del v, keys, line, hashes
+                release()
                 columns = list(zip(*out)) or [[]] * 5
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["batch_id", "part", "n", "m", "cell"])
@@ -170,7 +186,7 @@ def _send(batches: DataFrame, ranges: int) -> DataFrame:
 
 
 def _answer(sent: DataFrame) -> DataFrame:
-    """Bits for each batch and range: its bands that another line shares; its lines that come earlier elsewhere."""
+    """For each batch and range: bits of its lines that come earlier elsewhere; (line's tag, band) of its bands that another line shares."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("batch_id")
@@ -196,8 +212,12 @@ def _answer(sent: DataFrame) -> DataFrame:
         order = np.lexsort((ids, hashes))
         h = hashes[order]
         late[order[1:]] = h[1:] == h[:-1]
-        pack = lambda bits, at: pa.array([np.packbits(bits[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)], pa.binary())
-        return pa.table([group["batch_id"], group["part"], pa.array(np.zeros(len(ns), np.int32)), pack(late, am), pack(shared, an)], names=["batch_id", "part", "kind", "late", "more"])
+        bits = [np.packbits(late[am[i] : am[i + 1]]).tobytes() for i in range(len(ms))]
+        echo = []
+        for i in range(len(ns)):
+            own = np.flatnonzero(shared[an[i] : an[i + 1]]) + an[i]
+            echo.append(tags[own].tobytes() + (keys[own] & np.uint64(31)).astype(np.uint8).tobytes())
+        return pa.table([group["batch_id"], group["part"], pa.array(np.zeros(len(ns), np.int32)), pa.array(bits, pa.binary()), pa.array(echo, pa.binary())], names=["batch_id", "part", "kind", "late", "more"])
 
     return sent.groupBy("part").applyInArrow(run, ANSWER)
 
@@ -221,18 +241,28 @@ def _candidates(batches: DataFrame, answers: DataFrame, ranges: int) -> DataFram
         found, out = right.to_pylist(), []
         for b in left.to_pylist():
             v = Lines(b["doc_ids"], b["sizes"], b["blob"])
-            keys, line, cut, sig, hashes = _entries(v, ranges)
-            shared = _bits(found, "more", cut)
+            hashes = v.hash[v.first]  # ascending
             late = _bits(found, "late", np.searchsorted(range_of(hashes, ranges), np.arange(ranges + 1)))
-            shared &= ~late[line]
-            keys, line = keys[shared], line[shared]
-            order = np.argsort(line, kind="stable")
-            keys, line = keys[order].view(np.int64), line[order]
-            which = np.unique(line)
-            edge = np.append(np.searchsorted(line, which), len(line))
+            tags, bands = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
+            for r in found:
+                n = len(r["more"]) // 5
+                tags.append(np.frombuffer(r["more"], np.uint32, n))
+                bands.append(np.frombuffer(r["more"], np.uint8, n, 4 * n))
+            tags, bands = np.concatenate(tags), np.concatenate(bands)
+            known = (hashes >> np.uint64(32)).astype(np.uint32)
+            # lines of one tag in a batch are rare, and then all taken
+            lo, hi = np.searchsorted(known, tags, "left"), np.searchsorted(known, tags, "right")
+            line = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            bands = np.repeat(bands, hi - lo).astype(np.int64)
+            bands, line = bands[~late[line]], line[~late[line]]
+            which, at = np.unique(line, return_inverse=True)
+            sig = v.signatures(v.first[which])
+            keys = band_keys(sig)[at, bands].view(np.int64)
+            order = np.argsort(at, kind="stable")
+            keys, edge = keys[order], np.append(np.searchsorted(at[order], np.arange(len(which))), len(at))
             first = v.first[which]
             texts = [v.raw[a:e] for a, e in zip(v.start[first].tolist(), v.end[first].tolist())]
-            sketch = (sig[which] >> np.uint32(8)).astype(np.uint8)
+            sketch = (sig >> np.uint32(8)).astype(np.uint8)
             out.append(
                 pa.table(
                     [
@@ -253,14 +283,6 @@ def _candidates(batches: DataFrame, answers: DataFrame, ranges: int) -> DataFram
     return batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id")).applyInArrow(run, CANDIDATE)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(len(a) x len(b)) share of bins in which sketches agree."""
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for i in range(BINS):
-        out += a[:, i][:, None] == b[:, i][None, :]
-    return out
-
-
 def _band_forest(cands: DataFrame, parts: int) -> DataFrame:
     """Edges (u, v) that join lines of one band whose sketches agree; a spanning forest for each task."""
     need = int((THRESHOLD - MARGIN) * BINS)
@@ -300,57 +322,65 @@ def _band_forest(cands: DataFrame, parts: int) -> DataFrame:
     return spread.withColumn("task", task).withColumn("band", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).select("task", "band", "line", "sketch").groupBy("task").applyInArrow(run, "u long, v long")
 
 
-def shingles(text: bytes) -> frozenset:
-    return frozenset(text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1)))
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit words; a shorter text is one shingle that no other line has."""
+    if len(text) < SHINGLE:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.ndarray((len(text) - SHINGLE + 1,), np.uint64, text, strides=(1,)))
+
 
+def jaccard_reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    n = max(len(a), 1) + max(len(b), 1)
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same >= THRESHOLD * (n - same)
 
-def links_within(lines: np.ndarray, texts: list[bytes]) -> list[tuple[int, int]]:
+
+def links_within(lines: np.ndarray, texts: list[bytes], sketches: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect lines as all pairs of exact Jaccard similarity of at least THRESHOLD do.
 
-    A line that is reached leaves the unreached; each reached line meets all unreached ones once.
+    A line that is reached leaves the unreached; each reached line meets all unreached
+    ones once: by sketch, and those whose sketches agree by their sets of shingles.
     """
-    sets = [shingles(t) for t in texts]
-    by: dict[bytes, list[int]] = {}
-    for i, s in enumerate(sets):
-        for x in s:
-            by.setdefault(x, []).append(i)
-    left, out = set(range(len(sets))), []
-    for start in range(len(sets)):
-        if start not in left:
-            continue
-        left.discard(start)
-        stack = [start]
-        while stack and left:
+    sets: dict[int, np.ndarray] = {}
+    need = int((THRESHOLD - MARGIN) * BINS)
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(texts[i])
+        return sets[i]
+
+    left, out = np.arange(len(texts)), []
+    while len(left) > 1:
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
             x = stack.pop()
-            meet: dict[int, int] = {}
-            if len(left) < 12:
-                meet = {y: len(sets[x] & sets[y]) for y in left}
-            else:
-                for s in sets[x]:
-                    own = by[s]
-                    live = [y for y in own if y in left]
-                    if 2 * len(live) < len(own):
-                        by[s] = live
-                    for y in live:
-                        meet[y] = meet.get(y, 0) + 1
-            for y, both in meet.items():
-                if both >= THRESHOLD * (len(sets[x]) + len(sets[y]) - both):
+            near = left if len(left) < 3 else left[(sketches[left] == sketches[x]).sum(1) >= need]
+            reached = []
+            for y in near.tolist():
+                if jaccard_reaches(of(x), of(y)):
                     out.append((int(lines[x]), int(lines[y])))
-                    left.discard(y)
-                    stack.append(y)
+                    reached.append(y)
+            if reached:
+                left = left[~np.isin(left, reached)]
+                stack += reached
+            sets.pop(x, None)
     return out
 
 
 def _verified(cands: DataFrame, roots_: DataFrame, parts: int) -> DataFrame:
     """Links (u, v) by exact Jaccard similarity within candidate components."""
-    own = cands.select("line", "text").join(roots_.withColumnRenamed("node", "line"), "line")
+    own = cands.select("line", "text", "sketch").join(roots_.withColumnRenamed("node", "line"), "line")
     sizes = roots_.groupBy("root").count().where(F.col("count") > BLOCK)
     sized = own.join(sizes, "root", "left").withColumn("n", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("line"), F.col("n")).cast("int"))
-    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("root", "line", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("root", "line", "text", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
         key = list(zip(group["root"].to_pylist(), group["i"].to_pylist(), group["j"].to_pylist()))
         lines, texts = group["line"].to_numpy(), group["text"].to_pylist()
+        sketches = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
         groups: dict = {}
         for at, k in enumerate(key):
             groups.setdefault(k, []).append(at)
@@ -358,7 +388,7 @@ def _verified(cands: DataFrame, roots_: DataFrame, parts: int) -> DataFrame:
         for rows in groups.values():
             rows = sorted(set(rows), key=lambda r: lines[r])
             if len(rows) > 1:
-                out += links_within(lines[rows], [texts[r] for r in rows])
+                out += links_within(lines[rows], [texts[r] for r in rows], sketches[rows])
         return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
 
     task = F.pmod(F.xxhash64("root", "i", "j"), F.lit(parts)).cast("int")

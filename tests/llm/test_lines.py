@@ -12,10 +12,14 @@ from lathe.llm import shared
 SCHEMA = "doc_id long, text string, line long, batch_id long"
 
 
+def shingles(text):
+    return frozenset(text[i : i + D.SHINGLE] for i in range(max(1, len(text) - D.SHINGLE + 1)))
+
+
 def brute(rows):
     lines = [(d, i, x) for d, t in sorted(rows, key=lambda r: r[0]) if t for i, x in enumerate(t.encode().split(b"\n"))]
     live = list(dict.fromkeys(x for _, _, x in lines if x.strip(b" \t\n\x0b\x0c\r")))
-    sets = [D.shingles(x) for x in live]
+    sets = [shingles(x) for x in live]
     parent = list(range(len(live)))
 
     def find(x):
@@ -95,7 +99,7 @@ def test_edges(spark):
 def test_links_within_reach_all_pairs():
     r = random.Random(4)
     texts = ["".join(r.choice("ab") for _ in range(14)).encode() for _ in range(150)]
-    links = D.links_within(np.arange(len(texts)), texts)
+    links = D.links_within(np.arange(len(texts)), texts, np.zeros((len(texts), D.BINS), np.uint8))
     parent = list(range(len(texts)))
 
     def find(p, x):
@@ -106,7 +110,7 @@ def test_links_within_reach_all_pairs():
     for a, b in links:
         parent[max(find(parent, a), find(parent, b))] = min(find(parent, a), find(parent, b))
     full = list(range(len(texts)))
-    sets = [D.shingles(t) for t in texts]
+    sets = [shingles(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
             if len(sets[i] & sets[j]) >= D.THRESHOLD * len(sets[i] | sets[j]):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lathe.llm import components, shared, simhash_dedup as S
 
@@ -85,7 +86,9 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one", [0, 400_000])
+def test_components(spark, monkeypatch, one):
+    monkeypatch.setattr(components, "ONE_TASK", one)
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 500)] + [(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(200)] + [(-5, 499), (-5, -9)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(7), shared.Scratch(spark)).collect()}
