@@ -11,10 +11,12 @@ form a chunk. Only chunks travel:
    chunks.
 2. The first copy of each chunk of an anchor with several chunks is compared
    window by window with the others of that anchor: its text goes to the range of
-   leading tokens that sampled splitters assign, is sorted there word by word
+   leading tokens that sampled splitters assign. There, bytes are sorted word by word
    (a vectorised multikey quicksort), and neighbours with a common prefix of a
-   whole window are one class. Equal leading tokens share a range, so no class
-   crosses a boundary. The answer is a bit mask of windows that come earlier.
+   whole window are one class. Words are streamed, document after document, past a
+   suffix automaton of the smaller documents: a matching statistic of a whole window or
+   more marks it. Equal leading tokens share a range, so nothing is missed at
+   boundaries. The answer is a bit mask of windows that come earlier.
 
 Nothing is capped: a passage with thousands of copies is one entry per batch and
 one representative altogether. Identity of chunks rests on 96 bits of hash, of
@@ -31,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import SuffixAutomaton
 from .shared import Scratch, mix, pack_batches, release, unpack
 
 BASE = 0x9E3779B97F4A7C15 | 3
@@ -39,6 +42,8 @@ SLICE = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 #: Entries that one range of anchors holds, about; sets the number of ranges.
 RANGE_ENTRIES = 500_000
+#: Words: so many windows of reference go to one suffix automaton; a bundle that alone has more is sorted.
+AUTOMATON_WINDOWS = 12_000
 #: Sampled anchors for the splitters; they set the balance of ranges only.
 SPLITTER_SAMPLE = 20_000
 
@@ -386,12 +391,16 @@ def answer_texts(texts: DataFrame, spec: Spec) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]])) if len(b) else np.zeros(1, np.int64)
         # blocks of whole bundles, of bounded size unless one bundle is larger
         windows = np.concatenate([[0], np.cumsum(count[order])])
-        lo = 0
+        lo, most = 0, AUTOMATON_WINDOWS if spec.words else 300_000
         while lo < len(edge) - 1:
-            hi = max(lo + 1, int(np.searchsorted(windows[edge], windows[edge[lo]] + 300_000, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(windows[edge], windows[edge[lo]] + most, side="right")) - 1)
             hi = min(hi, len(edge) - 1)
             rows = order[edge[lo] : edge[hi]]
             c = count[rows]
+            if spec.by_document and c.sum() <= AUTOMATON_WINDOWS:
+                stream(tokens, base, length, doc, rows, mask, L)
+                lo = hi
+                continue
             row = np.repeat(rows, c)
             off = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
             begin = base[row] + off
@@ -424,6 +433,27 @@ def answer_texts(texts: DataFrame, spec: Spec) -> DataFrame:
     return texts.groupBy("part").applyInArrow(run, ANSWER)
 
 
+def stream(tokens: np.ndarray, base: np.ndarray, length: np.ndarray, doc: np.ndarray, rows: np.ndarray, mask: np.ndarray, L: int) -> None:
+    """Marks the windows of chunks that match a smaller document's chunk, by matching statistics."""
+    reference = SuffixAutomaton()
+    rows = rows[np.argsort(doc[rows], kind="stable")]
+    pending: list[list[int]] = []
+    last = None
+    for r, d in zip(rows.tolist(), doc[rows].tolist()):
+        if d != last:
+            for words in pending:
+                reference.add(words)
+            pending, last = [], d
+        words = tokens[base[r] : base[r] + length[r]].tolist()
+        pending.append(words)
+        if len(reference.next) > 1:
+            bits = 0
+            for end, n in enumerate(reference.statistics(words)):
+                if n >= L:
+                    bits |= 1 << (end - L + 1)
+            mask[r] |= np.uint64(bits)
+
+
 def window_words(tokens: np.ndarray, begin: np.ndarray, L: int) -> np.ndarray:
     """Each window as rows of 64-bit words that sort as its tokens do."""
     if tokens.dtype == np.uint64:
