@@ -412,6 +412,8 @@ def _run(docs: DataFrame, finish, schema: str) -> DataFrame:
     best = member.groupBy("root").agg(F.min(F.struct("doc_id", "batch_id", "place")).alias("best"))
     gone = member.join(best, "root").where(F.struct("doc_id", "batch_id", "place") > F.col("best")).select("batch_id", "entry")
     gone = gone.groupBy("batch_id").agg(F.collect_list("entry").alias("entries")).select("batch_id", F.lit(-1).alias("part"), F.lit(1).alias("kind"), F.lit(b"").alias("late"), F.lit(b"").alias("more"), "entries")
+    gone = scratch.table(gone, "gone")
+    scratch.keep_only("batches", "bits", "gone")
     both = answers.drop("more").withColumn("more", F.lit(b"")).select("batch_id", "part", "kind", "late", "more", F.lit(None).cast("array<int>").alias("entries")).unionByName(gone)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -466,10 +468,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): texts without those lines; an untouched text stays byte for byte, a null text null."""
+    """(doc_id, text, emptied): texts without those lines; an untouched text stays byte for byte, a null text null.
+
+    emptied: the text had a line that isn't blank, and has none left.
+    """
 
     def finish(v: Lines, drop: np.ndarray, other: np.ndarray) -> pa.Table:
         kept = pa.array([None if gone else x.decode("utf-8", "replace") for x, gone in zip(_kept(v, drop), v.null.tolist())], pa.string())
-        return pa.table([pa.array(v.ids, mask=v.ids == -(2**63)), kept], names=["doc_id", "text"])
+        inked = np.concatenate([[0], np.cumsum(~v.blank)]), np.concatenate([[0], np.cumsum(~v.blank & ~drop)])
+        had, has = (x[v.first_of_doc[1:]] > x[v.first_of_doc[:-1]] for x in inked)
+        return pa.table([pa.array(v.ids, mask=v.ids == -(2**63)), kept, pa.array(had & ~has)], names=["doc_id", "text", "emptied"])
 
-    return _run(docs, finish, "doc_id long, text string")
+    return _run(docs, finish, "doc_id long, text string, emptied boolean")

@@ -32,8 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Written tables of one operator run; drop() removes those that no later step reads."""
 
+    #: Folders that this driver has made and not yet dropped.
+    roots: set[str] = set()
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/lathe-{uuid.uuid4().hex}"
+        Scratch.roots.add(self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -49,11 +53,20 @@ class Scratch:
         self.spark.sql(f"drop table {name}")  # the name only: the files and the resolved plan stay
         return table
 
-    def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def keep_only(self, *names: str) -> None:
+        """Drops the tables that no later step reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(path):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
+    @staticmethod
+    def drop_roots(spark: SparkSession, roots) -> None:
+        for root in list(roots):
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            Scratch.roots.discard(root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -261,6 +261,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     known = known.select(*f, F.coalesce("root", "id").alias("root"), (F.coalesce("far", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
     placed = worded.join(known, f).select("a", "b", "first", "n_copies", "root", "n_links")
     placed = scratch.table(placed.unionByName(texts.where("n_words = 0").select("a", "b", "first", "n_copies", F.col("a").alias("root"), F.lit(0).cast("long").alias("n_links"))), "placed")
+    scratch.keep_only("rows", "placed")
     names = placed.groupBy("root").agg(F.min("first").alias("class_id"))
     return rows.select("doc_id", "a", "b").join(placed.join(names, "root"), ["a", "b"]).select("doc_id", "class_id", "n_links", "n_copies")
 
