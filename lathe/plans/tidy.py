@@ -51,12 +51,14 @@ def _floored(files: DataFrame, context) -> DataFrame:
     return files.join(inside, "path", "left")
 
 
-def tidy(files: DataFrame, config: Config | None = None, mode: str = "dry_run", include=(), exclude=(), root: str | None = None) -> tuple[DataFrame, DataFrame]:
+def tidy(files: DataFrame, config: Config | None = None, mode: str = "dry_run", include=(), exclude=(), root: str | None = None, crate_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, records) of files (path, ext, text, pos).
 
     texts: path, text, new_text, failed, processed. dry_run: every operator sees the
     original text. apply: each sees what the one before it left, and line numbers are of
     that text. A file that one operator fails on stops there and keeps the records before it.
+    root: the root file of a crate, whose module tree and re-exports come from crate_files
+    (path, ext, text; the files themselves if there are none), before any change.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
@@ -77,7 +79,7 @@ def tidy(files: DataFrame, config: Config | None = None, mode: str = "dry_run",
         state = state.withColumn("text", F.col("original"))
     new = reorder.reorder(state, rust & policy.runs("reorder") & ok)
     state = done(new, "reorder", F.col("new_text") if apply else F.col("text")).withColumn("failed", F.col("failed") | F.col("broken")).drop("broken")
-    floored = _floored(state, crate_context(files, root))
+    floored = _floored(state, crate_context(files if crate_files is None else crate_files, root))
     new = vis.narrow_files(floored, rust & policy.runs("vis") & ok).withColumnRenamed("text", "vis_old").withColumnRenamed("new_text", "vis_new")
     state = new.withColumn("text", F.col("vis_new") if apply else F.col("vis_old")).drop("floor", "blocked")
     linting = rust & policy.lints_run() & ok
