@@ -14,40 +14,65 @@ from lathe.llm.shared import Scratch, table
 
 
 def _replace_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Documents with new texts by doc_id, their other columns kept; those left without a word go unless they had none.
+    """Documents with new texts by doc_id, their other columns kept; those that lost all they had go.
 
     n_chars, where there is one, is that of the new text. Rows that share an id, or have none,
-    keep their own text.
+    and null texts stay as they are.
     """
-    once = docs.groupBy("doc_id").count().where("count = 1 and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    new = texts.join(once, texts["doc_id"] == F.col("__id")).select("__id", F.col("text").alias("__new"))
-    joined = docs.join(new, docs["doc_id"] == new["__id"], "left")
-    text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.col("__new"))
-    gone = F.col("__id").isNotNull() & (F.coalesce(F.trim("__new"), F.lit("")) == "") & (F.coalesce(F.trim("text"), F.lit("")) != "")
-    columns = {"text": text} | ({"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.where(~gone).select(*(columns[c].alias(c) if c in columns else docs[c] for c in docs.columns))
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    shared = docs.join(twice, docs["doc_id"] == F.col("__twice"), "left_semi")
+    alone = docs.withColumn("__null", F.col("text").isNull()).drop("text").where("doc_id is not null").join(twice, docs["doc_id"] == F.col("__twice"), "left_anti")
+    new = texts.where("not emptied").select(F.col("doc_id").alias("__id"), F.col("text").alias("__new"))
+    joined = alone.join(new, docs["doc_id"] == F.col("__id"))
+    text = F.when(~F.col("__null"), F.col("__new"))
+    columns = {"text": text} | ({"n_chars": F.when(F.col("__null"), F.col("n_chars")).otherwise(F.length("__new")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    changed = joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    return changed.unionByName(shared).unionByName(docs.where("doc_id is null"))
 
 
+def _fresh(stage):
+    """A stage that first drops what earlier ones left in the shared folder: their results are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        Scratch.drop_roots(spark, _LEFT)
+        _LEFT.clear()
+        before = set(Scratch.roots)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.update(Scratch.roots - before)
+        return out
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+_LEFT: set[str] = set()
+
+
+@_fresh
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
+@_fresh
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with one line of each class of similar lines."""
     return _replace_text(docs, line_dedup.texts(docs))
 
 
+@_fresh
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return simhash_dedup.kept(docs)
 
 
+@_fresh
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without words that repeat an earlier document's passage."""
     return _replace_text(docs, substring_dedup.texts(docs))
 
 
+@_fresh
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
     return packing.pack(docs)
@@ -71,4 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"{i}-{name}")
+        scratch.keep_only(f"{i}-{name}")
     return docs
