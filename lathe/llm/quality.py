@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .passages import word_tokens
@@ -102,7 +102,7 @@ def _sliced(batch: pa.RecordBatch, column: int):
         a = b
 
 
-def _site(column: str | None) -> F.Column:
+def _site(column: str | None) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")) if column else F.lit("")
 
 
@@ -118,7 +118,7 @@ def _measured(docs: DataFrame, host: str | None, path: str | None) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, host string, path string, x array<double>")
 
 
-def _strength(n: np.ndarray | float, mean, between) -> F.Column:
+def _strength(mean: Column, between: Column) -> Column:
     """Pseudo-count of a beta prior with this mean and variance."""
     return F.when(between > 1e-9, F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0))).otherwise(F.lit(1e6))
 
@@ -135,14 +135,14 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     )
     # method of moments: between-site variance above what the sites' sizes explain
     between = (F.col("squares") - F.col("docs") * F.col("prior") * F.col("prior") - (F.col("sites") - 1) * F.col("prior") * (1 - F.col("prior"))) / F.col("docs")
-    whole = whole.select("prior", _strength(0, F.col("prior"), between).alias("host_strength"))
+    whole = whole.select("prior", _strength(F.col("prior"), between).alias("host_strength"))
     hosts = hosts.crossJoin(F.broadcast(whole)).withColumn("host_posterior", (F.col("hs") + F.col("host_strength") * F.col("prior")) / (F.col("hn") + F.col("host_strength")))
     nested = paths.join(hosts, "host")
     within = nested.agg(
         F.sum("n").alias("docs"),
         F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2) - F.col("hs") / F.col("hn") * (1 - F.col("hs") / F.col("hn"))).alias("excess"),
         F.first("prior").alias("p0"),
-    ).select(_strength(0, F.col("p0"), F.col("excess") / F.col("docs")).alias("path_strength"))
+    ).select(_strength(F.col("p0"), F.col("excess") / F.col("docs")).alias("path_strength"))
     return nested.crossJoin(F.broadcast(within)).select(
         "host",
         "path",
@@ -152,7 +152,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     )
 
 
-def _log_odds(p: F.Column) -> F.Column:
+def _log_odds(p: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9))
     return F.log(q / (1 - q))
 
