@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.sources.scratch import written
+
 
 def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(graph, node, name, is_main, level) from nodes (graph, node, name) and edges (graph, src, dst); `main` comes first and frees its own."""
@@ -23,25 +25,19 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     done: list[DataFrame] = []
     for wave in range(most):
         free = left.join(live.select("graph", F.col("dst").alias("node")).distinct(), ["graph", "node"], "left_anti").withColumn("level", F.lit(wave))
-        free = _cut(spark, free)
+        free = written(spark, free)
         if free.isEmpty():
             break
         done.append(free)
         taken = free.select("graph", "node")
-        left = _cut(spark, left.join(taken, ["graph", "node"], "left_anti"))
-        live = _cut(spark, live.join(taken.withColumnRenamed("node", "src"), ["graph", "src"], "left_anti").select("graph", "src", "dst"))
+        left = written(spark, left.join(taken, ["graph", "node"], "left_anti"))
+        live = written(spark, live.join(taken.withColumnRenamed("node", "src"), ["graph", "src"], "left_anti").select("graph", "src", "dst"))
     found = done[0] if done else left.withColumn("level", F.lit(0)).limit(0)
     for more in done[1:]:
         found = found.unionByName(more)
     return own.join(found, ["graph", "node"], "left").select("graph", "node", "name", "is_main", "level")
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    from lathe.sources.scratch import written
-
-    return written(spark, df)
-
-
 def toposorted(leveled: DataFrame) -> DataFrame:
     """With `out_pos` from 0: main, then levels, names by bytes, nodes of cycles last."""
     order = Window.partitionBy("graph").orderBy(F.desc("is_main"), F.col("level").isNull(), "level", "name", "node")
