@@ -1,10 +1,10 @@
 """Sharding by Karmarkar-Karp differencing into shards of nearly equal bytes.
 
-Groups are equal texts; a group is indivisible. Every task differences its own
-groups: partial partitions (one load for each shard) are combined, the two with
-the largest spread first, oppositely ordered, until one is left. The driver does the same
-with the tasks' partial partitions (one row of loads each) and hands back, for
-each task, the order of its shards.
+Groups are equal texts; a group is indivisible. Groups of more than 1 / (BUNDLES * shards) of
+all bytes are items of their own, the others go by hash into as many bundles. The driver
+differences these items as a whole, a bounded number whatever the table: partial partitions (one
+load for each shard) are combined, the two with the largest spread first, oppositely ordered,
+until one is left. So light bundles offset heavy groups, and the result is the same for any tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, texts_of
 
 SHARDS = 8
+#: Bundles of light groups for each shard.
+BUNDLES = 1000
 
 
 def difference(loads: list[tuple[int, ...]], shards: int) -> tuple[list[int], list[np.ndarray]]:
@@ -67,27 +69,10 @@ def difference(loads: list[tuple[int, ...]], shards: int) -> tuple[list[int], li
 
 
 def difference_sizes(sizes: np.ndarray, shards: int) -> tuple[list[int], np.ndarray]:
-    """The same for single groups, each with all its load in one bin: the shard of each.
-
-    Among many groups the spread of the small ones is fine enough to be placed
-    greedily in bulk: equal sizes are dealt round in full rounds first, which keeps loads level.
-    """
-    shard = np.zeros(len(sizes), np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    ranked = sizes[order]
-    # full rounds of equal sizes add the same to each shard
-    edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]])) if len(ranked) else np.zeros(1, np.int64)
-    left, level = [], 0
-    for a, b in zip(edge[:-1], edge[1:]):
-        full = (b - a) // shards * shards
-        shard[order[a : a + full]] = np.arange(full) % shards
-        level += int(ranked[a]) * (full // shards)
-        left += order[a + full : b].tolist()
+    """The same for single groups, each with all its load in one bin: the shard of each."""
     empty = [0] * (shards - 1)
-    loads, places = difference([(int(sizes[i]), *empty) for i in left], shards)
-    if left:
-        shard[left] = [p[0] for p in places]
-    return [x + level for x in loads], shard
+    loads, places = difference([(x, *empty) for x in sizes.tolist()], shards)
+    return loads, np.array([p[0] for p in places], np.int64)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -114,27 +99,17 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text", F.lit(1)).alias("a"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(2), "text")).alias("b")
     ).mapInArrow(digest, "doc_id long, size long, text_crc32 long, a long, b long")
     rows = scratch.table(keyed, "rows")
-    groups = rows.groupBy("a", "b").agg(F.sum("size").alias("load"))
-
-    def local(it):
-        part = TaskContext.get().partitionId()
-        batches = [b for b in it if b.num_rows]
-        if not batches:
-            return
-        whole = pa.Table.from_batches(batches).sort_by([("a", "ascending"), ("b", "ascending")])
-        _, bins = difference_sizes(whole["load"].to_numpy(), shards)
-        out = whole.append_column("part", pa.array(np.full(whole.num_rows, part, np.int32))).append_column("bin", pa.array(bins.astype(np.int32)))
-        yield from out.to_batches()
-
-    placed = scratch.table(groups.mapInArrow(local, "a long, b long, load long, part int, bin int"), "groups")
-    loads: dict[int, list[int]] = {}
-    for r in placed.groupBy("part", "bin").agg(F.sum("load")).collect():
-        loads.setdefault(r[0], [0] * shards)[r[1]] = r[2]
-    parts = sorted(loads)
-    _, order = difference([tuple(loads[p]) for p in parts], shards)
-    final = spark.createDataFrame([(p, b, int(o[b])) for p, o in zip(parts, order) for b in range(shards)], "part int, bin int, shard int")
-    # tasks x shards rows: bounded by the number of tasks
-    where = placed.join(F.broadcast(final), ["part", "bin"]).select("a", "b", "shard")
+    groups = scratch.table(rows.groupBy("a", "b").agg(F.sum("size").alias("load")), "groups")
+    most = BUNDLES * shards
+    limit = (groups.agg(F.sum("load")).first()[0] or 0) / most
+    groups = groups.withColumn("bundle", F.pmod("a", F.lit(most)))
+    # fewer than `most` groups are heavy, and there are at most so many bundles
+    heavy = sorted(tuple(r) for r in groups.where(F.col("load") > limit).select("a", "b", "load").collect())
+    light = sorted(tuple(r) for r in groups.where(F.col("load") <= limit).groupBy("bundle").agg(F.sum("load")).collect())
+    _, shard = difference_sizes(np.array([r[-1] for r in heavy + light], np.int64), shards)
+    alone = spark.createDataFrame([(*r[:2], int(x)) for r, x in zip(heavy, shard)], "a long, b long, own int")
+    bundled = spark.createDataFrame([(r[0], int(x)) for r, x in zip(light, shard[len(heavy) :])], "bundle long, shard int")
+    where = groups.join(F.broadcast(alone), ["a", "b"], "left").join(F.broadcast(bundled), "bundle", "left").select("a", "b", F.coalesce("own", "shard").alias("shard"))
 
     def number(it):
         part, seen = TaskContext.get().partitionId(), np.zeros(shards, np.int64)

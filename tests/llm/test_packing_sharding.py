@@ -74,3 +74,22 @@ def test_shards(spark):
         assert slots == list(range(len(slots)))
     assert sharding.assign(spark.createDataFrame([], SCHEMA)).collect() == []
     assert {r.shard for r in sharding.assign(frame(spark, ["same"] * 50)).collect()} <= set(range(8))
+
+
+def test_a_heavy_group_is_offset_by_light_ones(spark):
+    r = np.random.default_rng(3)
+    light = [f"{i} " + "x" * int(k) for i, k in enumerate(r.integers(20, 400, 3000))]
+    total = sum(len(x) + 1 for x in light)
+    for share in (0.05, 1 / 3):
+        copies = round(share / (1 - share) * total / 1001)
+        rows = [(i, x, 1, 2) for i, x in enumerate(light + ["h" * 1000] * copies)]
+        found = []
+        for tasks in (2, 9):
+            got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, u long, v long").repartition(tasks)).groupBy("shard").sum("size").collect()
+            found.append(sorted(x[1] for x in got))
+        assert found[0] == found[1] and len(found[0]) == 8
+        loads = np.array(found[0])
+        if share < 1 / 8:
+            assert loads.max() < 1.001 * loads.mean()
+        else:  # the group has a shard of its own, the others are level
+            assert loads[-1] == copies * 1001 and loads[-2] < 1.001 * loads[0]
