@@ -7,14 +7,16 @@ so a round reads each edge once. Rounds are written to the shared folder, which
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathe.sources.scratch import written
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(graph, node, name, is_main, level) from nodes (graph, node, name) and edges (graph, src, dst); `main` comes first and frees its own."""
+def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(graph, node, name, is_main, level) from nodes (graph, node, name) and edges (graph, src, dst); `main` comes first and frees its own. More than `most` waves are an error."""
     spark = nodes.sparkSession
     first = Window.partitionBy("graph").orderBy("node")
     own = nodes.withColumn("is_main", (F.col("name") == "main") & (F.row_number().over(first.partitionBy("graph", "name")) == 1))
@@ -23,11 +25,13 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     live = live.join(mains, ["graph", "src"], "left_anti").join(mains.withColumnRenamed("src", "dst"), ["graph", "dst"], "left_anti").select("graph", "src", "dst")
     left = own.where("not is_main").select("graph", "node")
     done: list[DataFrame] = []
-    for wave in range(most):
+    for wave in itertools.count():
         free = left.join(live.select("graph", F.col("dst").alias("node")).distinct(), ["graph", "node"], "left_anti").withColumn("level", F.lit(wave))
         free = written(spark, free)
         if free.isEmpty():
             break
+        if wave == most:
+            raise ValueError(f"more than {most} waves")
         done.append(free)
         taken = free.select("graph", "node")
         left = written(spark, left.join(taken, ["graph", "node"], "left_anti"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,18 +67,20 @@ def floors(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return both.groupBy("crate").applyInPandas(walk, "crate string, path string, floor string")
 
 
-def floors_by_rounds(edges: DataFrame, roots: DataFrame, most: int = 200) -> DataFrame:
-    """The same where every file has one declaration: breadth first over the cluster, however large a crate."""
+def floors_by_rounds(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """The same where every file has one declaration: breadth first over the cluster, however large or deep a crate. More than `most` rounds are an error."""
     spark = edges.sparkSession
     level = roots.select("crate", F.col("root").alias("path"), F.lit(None).cast("string").alias("floor"))
     seen = written(spark, level)
     front = seen
-    for _ in range(most):
+    for depth in itertools.count():
         nxt = front.join(edges.where("child is not null").select("crate", F.col("parent").alias("path"), "child", "vis"), ["crate", "path"])
         nxt = nxt.groupBy("crate", F.col("child").alias("path")).agg(F.max(F.coalesce("vis", "floor")).alias("floor"))
         front = written(spark, nxt.join(seen, ["crate", "path"], "left_anti").select("crate", "path", "floor"))
         if front.isEmpty():
             break
+        if depth == most:
+            raise ValueError(f"files nested deeper than {most} modules")
         seen = written(spark, seen.unionByName(front))
     return seen
 

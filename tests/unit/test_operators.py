@@ -1,5 +1,6 @@
 """DataFrame operators against the kernels and on small files."""
 
+import inspect
 import json
 import subprocess
 
@@ -72,6 +73,20 @@ def test_levels(spark):
     assert got == {"main": (None, 0), "a": (0, 1), "c": (0, 2), "b": (1, 3), "x": (None, 4), "y": (None, 5)}
 
 
+def test_bounds_of_depth_are_errors(spark):
+    nodes = spark.createDataFrame([(1, i, f"n{i}") for i in range(4)], "graph int, node int, name string")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(3)], "graph int, src int, dst int")
+    assert sorted(r.level for r in graph.levels(nodes, edges, most=4).collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        graph.levels(nodes, edges, most=3)
+    modules = spark.createDataFrame([("k", f"f{i}", 0, f"f{i + 1}", None) for i in range(3)], "crate string, parent string, pos int, child string, vis string")
+    roots = spark.createDataFrame([("k", "f0")], "crate string, root string")
+    assert vis.floors_by_rounds(modules, roots, most=3).count() == 4
+    with pytest.raises(ValueError):
+        vis.floors_by_rounds(modules, roots, most=2)
+    assert inspect.signature(graph.levels).parameters["most"].default is inspect.signature(vis.floors_by_rounds).parameters["most"].default is None
+
+
 def test_permutations(spark):
     good = spark.createDataFrame([("p", 0, 1), ("p", 1, 0), ("q", 0, 0), ("q", 0, 1)], "path string, idx int, out_pos int")
     assert [r.path for r in reorder.permutation_faults(good).collect()] == ["q"]
