@@ -41,26 +41,34 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """A byte-level BPE of the tokenizers format; ids are merge ranks. Special tokens in a text are ordinary text."""
+@lru_cache(maxsize=4)
+def encoder(path: str, special: bool = True) -> tiktoken.Encoding:
+    """A byte-level BPE of the tokenizers format; ids are merge ranks.
+
+    special: the strings of added tokens in a text are those tokens, as the tokenizers library
+    takes them by default; else they are ordinary text.
+    """
+    added: dict[str, int] = {}
     if path.endswith(".tiktoken"):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     else:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {x["id"] for x in spec["added_tokens"]}
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
+            raise ValueError("added tokens that take in neighbouring text are not compiled")
+        ids = {x["id"] for x in spec["added_tokens"]}
+        added = {x["content"]: x["id"] for x in spec["added_tokens"]} if special else {}
         back = _unicode_bytes()
-        ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if i not in ids}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, special: bool = True) -> DataFrame:
     """Rows of ids of some documents each, in the order of the scan: part, ids before in the part, and the ids."""
 
     def run(it):
-        tool, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        tool, part, before = encoder(path, special), TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=1)
         for batch in it:
             _, at = texts_of(batch.column(1))
@@ -88,16 +96,17 @@ def cut(starts: np.ndarray, total: int, base: int, length: int) -> tuple[np.ndar
     return np.searchsorted(starts, begin, side="right") - 1, begin, np.append(begin[1:], total)
 
 
-def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, path: str | None = None, special: bool = True) -> DataFrame:
     """One row for each piece of a document in a sequence of `length` ids.
 
-    A document is its text's ids, then `end_id`; a null or empty text is `end_id` alone.
+    A document is its text's ids, then `end_id`; a null or empty text is `end_id` alone. The string of
+    an added token in a text is that token; with special false it is ordinary text.
     Sequences follow each other in the order in which the scan gives documents; all are
     full but the last. Rows of one id are documents of their own; an empty table
     gives no row. A null id comes out as null.
     """
     spark = docs.sparkSession
-    tokens = Scratch(spark).table(tokenized(docs.select("doc_id", "text"), path or vocabulary(), end_id), "tokens")
+    tokens = Scratch(spark).table(tokenized(docs.select("doc_id", "text"), path or vocabulary(), end_id, special), "tokens")
     totals = sorted(tuple(r) for r in tokens.groupBy("part").agg(F.sum("n_tokens")).collect())
     bases, at = [], 0
     for part, n in totals:

@@ -10,19 +10,20 @@ from tokenizers import Tokenizer
 from lathe.llm import packing, sharding
 
 SCHEMA = "doc_id long, text string, part int, size string"
-TEXTS = [None, "", "a", "a  b", "a   b \n c\t\t d", "naïve Ünïcode — ok 123 it's", "<|endoftext|> x", "word " * 900, "z" * 3000, "日本語 テキスト", " lead", "trail  ", "x\x1cy　z "]
+TEXTS = [None, "", "a", "a  b", "a   b \n c\t\t d", "naïve Ünïcode — ok 123 it's", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|><|endoftext|>", "word " * 900, "z" * 3000, "日本語 テキスト", " lead", "trail  ", "x\x1cy　z "]
 
 
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("length", [7, 1024])
-def test_pieces(spark, length):
+@pytest.mark.parametrize("length,special", [(7, True), (1024, True), (7, False)])
+def test_pieces(spark, length, special):
     tool = Tokenizer.from_file(packing.vocabulary())
-    tool.encode_special_tokens = True
+    if not special:
+        tool.encode_special_tokens = True
     ids = {i: [*tool.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(TEXTS)}
-    rows = packing.pack(frame(spark, TEXTS), length).collect()
+    rows = packing.pack(frame(spark, TEXTS), length, special=special).collect()
     for d, own in itertools.groupby(sorted(rows, key=lambda r: (r.doc_id, r.start)), lambda r: r.doc_id):
         at = 0
         for r in own:
