@@ -30,6 +30,8 @@ CLOSURE = 1.15
 PROBES = 6
 PRUNE = 1.8
 TOP = 5
+#: Rows of a piece of a large list, about.
+PIECE_ROWS = 20_000
 DEGREE = 24
 BLOCK = 4096
 
@@ -159,37 +161,44 @@ def search(vectors: DataFrame, queries, top: int = TOP, fit_rows: int = FIT_ROWS
     vectors: (vec_id, embedding); queries: a condition on vec_id that picks the
     queries, which are searched against all rows but their own. Null, zero and
     non-finite vectors, null ids, and vectors of another length than the first fitted
-    take no part. Rows of one id are candidates of their own, except for
-    queries of that id. An empty table gives no row.
+    take no part. Each row is a candidate of its own, whatever its id and vector, for all queries but
+    itself; a query id in several rows is answered for each. An empty table gives no row.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
-    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("embedding").toArrow()
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.monotonically_increasing_id().alias("row")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    n = rows.count()
+    # what falls under the bound is all that tasks send; ids may repeat, so the row decides
+    under = F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 40)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 40))
+    fitted = rows.where(under).select("row", "embedding").toArrow().sort_by("row")
     _, sample = unit_rows(fitted["embedding"])
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sample.shape[1], rows.count()
+    dim = sample.shape[1]
     lists = min(MOST_LISTS, max(1, n // list_size), max(1, len(sample) // 4))
     centre = balanced_centroids(sample, max(4, -(-len(sample) // lists)), MOST_LISTS)
     graph = centroid_graph(centre)
     most = max(32, int(probes * len(centre) ** 0.5))
-    shared = spark.sparkContext.broadcast((centre, graph))  # at most MOST_LISTS rows
+    # a list that holds much of the sample is cut into pieces, each of which meets all its queries; this sets balance only
+    held = np.bincount(np.concatenate([(sample[i : i + BLOCK] @ centre.T).argmax(1) for i in range(0, len(sample), BLOCK)]), minlength=len(centre))
+    pieces = np.maximum(1, np.ceil(held / len(sample) * n / PIECE_ROWS)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((centre, graph, pieces))  # at most MOST_LISTS rows
 
     def index(it):
-        centre, _ = shared.value
+        centre, _, pieces = shared.value
         for batch in it:
-            ids = batch.column(0).to_numpy()
+            own = batch.column(2).to_numpy()
             at, x = unit_rows(batch.column(1), dim)
             for i in range(0, len(at), BLOCK):
                 row, to = closure(x[i : i + BLOCK], centre)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(ids[at[i : i + BLOCK]][row]), batch.column(1).take(pa.array(at[i : i + BLOCK][row]))], names=["list", "vec_id", "embedding"])
+                from_ = pa.array(at[i : i + BLOCK][row])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array((own[from_] % pieces[to]).astype(np.int32)), *(batch.column(c).take(from_) for c in (2, 0, 1))], names=["list", "piece", "row", "vec_id", "embedding"])
 
     def probe(it):
-        centre, graph = shared.value
+        centre, graph, pieces = shared.value
         entries = np.unique(np.linspace(0, len(centre) - 1, 16).astype(np.int64))
         for batch in it:
-            ids = batch.column(0).to_numpy()
             at, x = unit_rows(batch.column(1), dim)
             query, to = [], []
             for r, q in zip(at.tolist(), x):
@@ -200,29 +209,27 @@ def search(vectors: DataFrame, queries, top: int = TOP, fit_rows: int = FIT_ROWS
                 query.append(np.full(ok.sum(), r))
             if query:
                 query, to = np.concatenate(query), np.concatenate(to)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(ids[query]), batch.column(1).take(pa.array(query))], names=["list", "query_id", "query"])
+                m = pieces[to]
+                piece = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                from_ = pa.array(np.repeat(query, m))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(to, m).astype(np.int32)), pa.array(piece.astype(np.int32)), *(batch.column(c).take(from_) for c in (2, 0, 1))], names=["list", "piece", "asker", "query_id", "query"])
 
-    posted = rows.mapInArrow(index, "list int, vec_id long, embedding array<double>")
-    asked = rows.where(queries).mapInArrow(probe, "list int, query_id long, query array<double>")
-    # a large list is cut into salted pieces; each meets all its queries
-    salt = 8
-    pieces = posted.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salt)).cast("int"))
-    spread = asked.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(salt)])))
+    posted = rows.mapInArrow(index, f"list int, piece int, row long, vec_id long, embedding {kind}")
+    asked = rows.where(queries).mapInArrow(probe, f"list int, piece int, asker long, query_id long, query {kind}")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        names = ["asker", "query_id", "row", "vec_id", "score"]
+        empty = pa.table([*[pa.array([], pa.int64())] * 4, pa.array([], pa.float64())], names=names)
         if not left.num_rows or not right.num_rows:
             return empty
-        ids, queries = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
         at, x = unit_rows(left["embedding"], dim)
         by, q = unit_rows(right["query"], dim)
-        ids, queries, out = ids[at], queries[by], []
+        ids, own, queries, askers, out = left["vec_id"].to_numpy()[at], left["row"].to_numpy()[at], right["query_id"].to_numpy()[by], right["asker"].to_numpy()[by], []
         for i in range(0, len(q), 64):
             best: list[list] = [[] for _ in q[i : i + 64]]
             for j in range(0, len(x), BLOCK):
                 s = q[i : i + 64] @ x[j : j + BLOCK].T
-                s[queries[i : i + 64, None] == ids[None, j : j + BLOCK]] = -np.inf
+                s[askers[i : i + 64, None] == own[None, j : j + BLOCK]] = -np.inf
                 k = min(top, s.shape[1])
                 floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                 r, c = np.nonzero((s >= floor[:, None] - 1e-12) & np.isfinite(s))
@@ -235,12 +242,12 @@ def search(vectors: DataFrame, queries, top: int = TOP, fit_rows: int = FIT_ROWS
                     # ties are kept whole: the final rank settles them
                     cut = np.sort(v)[::-1][min(top, len(v)) - 1]
                     found, v = found[v >= cut - 1e-12], v[v >= cut - 1e-12]
-                    out.append((np.full(len(found), queries[i + a]), ids[found], v))
+                    out.append((np.full(len(found), askers[i + a]), np.full(len(found), queries[i + a]), own[found], ids[found], v))
         if not out:
             return empty
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
-    found = pieces.groupBy("list", "salt").cogroup(spread.groupBy("list", "salt")).applyInArrow(score, "query_id long, vec_id long, score double")
-    found = scratch.table(found, "found").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = posted.groupBy("list", "piece").cogroup(asked.groupBy("list", "piece")).applyInArrow(score, "asker long, query_id long, row long, vec_id long, score double")
+    found = scratch.table(found, "found").dropDuplicates(["asker", "row"])  # a replica is found in several lists
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -5,7 +5,7 @@ text, fitted to a bounded sample of labelled rows. Sites have two levels, host
 and path. Each level's posterior is a beta mean over all of its documents'
 probabilities; its strength comes from the spread between sites by the method of
 moments, so sparse paths shrink to their host and sparse hosts to the corpus.
-The verdict adds the path's log odds, relative to the corpus, to the document's.
+The verdict adds the log odds of the path's other documents, relative to the corpus, to the document's.
 """
 
 from __future__ import annotations
@@ -124,7 +124,10 @@ def _strength(mean: Column, between: Column) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, host_posterior, path_posterior, prior) from all rows of (host, path, p)."""
+    """(host, path, host_posterior, path_posterior, prior, path_weight) from all rows of (host, path, p).
+
+    path_weight: the documents of the path and the pseudo-count of its prior, of which path_posterior is the mean.
+    """
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     whole = hosts.agg(
@@ -149,6 +152,7 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         "host_posterior",
         ((F.col("s") + F.col("path_strength") * F.col("host_posterior")) / (F.col("n") + F.col("path_strength"))).alias("path_posterior"),
         "prior",
+        (F.col("n") + F.col("path_strength")).alias("path_weight"),
     )
 
 
@@ -157,6 +161,20 @@ def _log_odds(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _sample(measured: DataFrame, known: DataFrame, fit_rows: int) -> list:
+    """At most about fit_rows labelled rows: those whose id's hash is under a bound worked out from the number of labels.
+
+    The bound holds before the join, so a task sends what falls under it and no more, whatever the size of the table.
+    """
+    n = known.count()
+    share = min(1.0, fit_rows / max(n, 1))
+    under = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))
+    picked = measured.where(under).select("doc_id", "x").join(known.where(under), "doc_id")
+    # rows that share an id count once, so that repeated ids cannot swell the sample
+    found = picked.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality")).collect()
+    return sorted(found, key=lambda r: r.doc_id)
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str | None = "source", path: str | None = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, posterior, keep) for each row of docs.
 
@@ -168,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | None = "source", pa
     scratch = Scratch(docs.sparkSession)
     measured = scratch.table(_measured(docs, host, path), "measured")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("quality"))
-    sample = measured.select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
+    sample = _sample(measured, known, fit_rows)
     model = fit(np.array([r.x for r in sample], float).reshape(len(sample), len(FEATURES)), np.array([float(r.quality >= 0.5) for r in sample]))
 
     def score(it):
@@ -178,9 +196,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | None = "source", pa
                 z = model.log_odds(x)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "host", "path", "evidence", "p"])
 
-    scored = measured.mapInArrow(score, "doc_id long, host string, path string, evidence double, p double")
+    scored = scratch.table(measured.mapInArrow(score, "doc_id long, host string, path string, evidence double, p double"), "scored")
+    scratch.keep_only("scored")
     sites = site_posteriors(scored)
-    total = F.col("evidence") + _log_odds(F.col("path_posterior")) - _log_odds(F.col("prior"))
+    # a document's own probability is in its evidence, so its path counts without it
+    others = (F.col("path_posterior") * F.col("path_weight") - F.col("p")) / (F.col("path_weight") - 1)
+    total = F.col("evidence") + _log_odds(others) - _log_odds(F.col("prior"))
     posterior = 1 / (1 + F.exp(-total))
     return scored.join(sites, ["host", "path"]).select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", posterior.alias("posterior"), (posterior >= threshold).alias("keep"))
 

@@ -56,6 +56,20 @@ def test_recall_with_many_lists(spark):
     assert len(got & pairs) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("list_size", [200, 2])
+def test_repeated_rows_are_candidates_of_their_own(spark, list_size):
+    a, b, c = [1.0, 0.0], [0.6, 0.8], [0.0, 1.0]
+    rows = [(0, a), (1, b), (1, b), (2, c), (50, a), (50, c)]
+    df = spark.createDataFrame([(*x, 0.0, 1) for x in rows], VECTORS)
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbours.search(df, "vec_id % 50 = 0", list_size=list_size).collect())
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            found = sorted((-float(np.dot(np.float32(x).astype(float), np.float32(y).astype(float))), v) for j, (v, y) in enumerate(rows) if j != i)[:5]
+            want += [(q, k, v, round(-s, 6)) for k, (s, v) in enumerate(found, 1)]
+    assert got == sorted(want)
+
+
 def test_no_vectors(spark):
     assert neighbours.search(spark.createDataFrame([], VECTORS), "vec_id % 50 = 0").collect() == []
     assert neighbours.search(spark.createDataFrame([(0, None, 0.0, 1), (50, [1.0], 0.0, 1)], VECTORS), "vec_id % 50 = 0").collect()[0:] == []
@@ -72,6 +86,55 @@ def test_held_out_accuracy(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.05
 
 
+def test_posteriors_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.source or "", r.lang or "", (r.text or "").encode()) for r in docs.collect()]
+    x = np.concatenate([quality.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for *_, t in rows])
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    known = [i for i, r in enumerate(rows) if r[0] in label]
+    known.sort(key=lambda i: rows[i][0])
+    model = quality.fit(x[known], np.array([float(label[rows[i][0]]) for i in known]))
+    z = model.log_odds(x)
+    p = 1 / (1 + np.exp(-z))
+    sums, hosts = {}, {}
+    for (_, h, q, _), v in zip(rows, p):
+        n, s = sums.get((h, q), (0, 0.0))
+        sums[h, q] = n + 1, s + v
+        n, s = hosts.get(h, (0, 0.0))
+        hosts[h] = n + 1, s + v
+
+    def strength(m, v):
+        return max(m * (1 - m) / v - 1, 1.0) if v > 1e-9 else 1e6
+
+    docs_n, prior = len(rows), p.mean()
+    between = (sum(s * s / n for n, s in hosts.values()) - docs_n * prior**2 - (len(hosts) - 1) * prior * (1 - prior)) / docs_n
+    k = strength(prior, between)
+    top = {h: (s + k * prior) / (n + k) for h, (n, s) in hosts.items()}
+    excess = 0.0
+    for (h, _), (n, s) in sums.items():
+        m = hosts[h][1] / hosts[h][0]
+        excess += n * (s / n - m) ** 2 - m * (1 - m)
+    k = strength(prior, excess / docs_n)
+    odds = lambda v: np.log(min(max(v, 1e-9), 1 - 1e-9) / (1 - min(max(v, 1e-9), 1 - 1e-9)))
+    want = {}
+    for (d, h, q, _), e, v in zip(rows, z, p):
+        n, s = sums[h, q]
+        total = e + odds((s - v + k * top[h]) / (n - 1 + k)) - odds(prior)
+        want[d] = (e, top[h], (s + k * top[h]) / (n + k), 1 / (1 + np.exp(-total)))
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r.evidence, r.host_posterior, r.path_posterior, r.posterior), want[r.doc_id], rtol=1e-6, atol=1e-9) and r.keep == (r.posterior >= quality.THRESHOLD)
+
+
+def test_the_sample_is_bounded(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    known = labels.select("doc_id", labels["quality"].cast("double").alias("quality"))
+    few = quality._sample(quality._measured(docs, None, None), known, 200)
+    assert 100 < len(few) < 300 and [r.doc_id for r in few] == sorted(r.doc_id for r in few)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep int, p double"
 
 
