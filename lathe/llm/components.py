@@ -9,6 +9,8 @@ minima (combined before the shuffle) are taken by node.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-ROUNDS = 60
 #: A forest of at most so many edges is finished by one task; a larger one goes by rounds.
 ONE_TASK = 400_000
 
@@ -58,7 +59,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     spark = edges.sparkSession
     live = scratch.table(_forest(edges.select("u", "v")), f"{name}-0")
     maps: list[DataFrame] = []
-    for i in range(1, ROUNDS):
+    for i in itertools.count(1):  # every root with an edge hooks, so each round at least halves the roots
         edges_left = live.count()
         if not edges_left:
             break
