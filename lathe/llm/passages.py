@@ -19,8 +19,8 @@ form a chunk. Only chunks travel:
    boundaries. The answer is a bit mask of windows that come earlier.
 
 Nothing is capped: a passage with thousands of copies is one entry per batch and
-one representative altogether. Identity of chunks rests on 96 bits of hash, of
-windows on their tokens (64 bits for each word where tokens are words).
+one representative altogether. Identity of chunks rests on 128 bits of hash (64 of the
+anchor, 64 of the chunk), of windows on their tokens (64 bits for each word where tokens are words).
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ PLACE = np.uint64((1 << 24) - 1)
 RANGE_ENTRIES = 500_000
 #: Words: so many windows of reference go to one suffix automaton; a bundle that alone has more is sorted.
 AUTOMATON_WINDOWS = 12_000
-#: Sampled anchors for the splitters; they set the balance of ranges only.
-SPLITTER_SAMPLE = 20_000
+#: Sampled leads for each range of leading tokens, and of a batch; they set the balance of ranges only.
+RANGE_SAMPLE, BATCH_SAMPLE = 64, 2500
 
 ANSWER = "batch_id long, part int, kind int, late binary, more binary"
 
@@ -149,7 +149,7 @@ def chunks_of(tokens: np.ndarray, bounds: np.ndarray, spec: Spec) -> dict[str, n
         parts["anchor"].append(anchor + s0)
         parts["ah"].append(grams[anchor])
         whole = (run[end] - run[start]) * down[start]
-        parts["ch"].append(mix(whole + (count.astype(np.uint64) << np.uint64(20)) + (anchor - start).astype(np.uint64)) >> np.uint64(32))
+        parts["ch"].append(mix(whole + (count.astype(np.uint64) << np.uint64(20)) + (anchor - start).astype(np.uint64)))
     kinds = {"start": np.int64, "count": np.int64, "anchor": np.int64, "ah": np.uint64, "ch": np.uint64}
     return {x: np.concatenate(v) if v else np.zeros(0, kinds[x]) for x, v in parts.items()}
 
@@ -214,7 +214,7 @@ def send(batches: DataFrame, spec: Spec, ranges: int) -> DataFrame:
                 v = view(b["doc_ids"], b["sizes"], b["blob"], spec)
                 to = v.range_of(ranges)
                 cut = np.searchsorted(to, np.arange(ranges + 1))
-                ah, ch = v.chunks["ah"][v.first], v.chunks["ch"][v.first].astype(np.uint32)
+                ah, ch = v.chunks["ah"][v.first], v.chunks["ch"][v.first]
                 ids = v.ids[v.doc[v.first]]
                 used = np.flatnonzero(np.diff(cut))
                 cells = [_pack(_delta(ah[cut[i] : cut[i + 1]]), ch[cut[i] : cut[i + 1]], planes(ids[cut[i] : cut[i + 1]])) for i in used]
@@ -245,12 +245,12 @@ def answer_chunks(sent: DataFrame, spec: Spec) -> DataFrame:
         batch, n, cells = group["batch_id"].to_numpy(), group["n"].to_numpy(), group["cell"].to_pylist()
         at = np.concatenate([[0], np.cumsum(n)])
         total = int(at[-1])
-        ah, ch, ids = np.empty(total, np.uint64), np.empty(total, np.uint32), np.empty(total, np.int64)
+        ah, ch, ids = np.empty(total, np.uint64), np.empty(total, np.uint64), np.empty(total, np.int64)
         for i, cell in enumerate(cells):
             raw, m = _unpack(cell), int(n[i])
             ah[at[i] : at[i + 1]] = np.cumsum(np.frombuffer(raw, np.uint64, m))
-            ch[at[i] : at[i + 1]] = np.frombuffer(raw, np.uint32, m, 8 * m)
-            ids[at[i] : at[i + 1]] = unplanes(raw[12 * m :], m)
+            ch[at[i] : at[i + 1]] = np.frombuffer(raw, np.uint64, m, 8 * m)
+            ids[at[i] : at[i + 1]] = unplanes(raw[16 * m :], m)
         order = np.lexsort((ids, ch, ah))  # stable: entries of one id stay in the order of batches
         a, c, d = ah[order], ch[order], ids[order]
         anew, cnew = np.ones(total, bool), np.ones(total, bool)
@@ -292,14 +292,17 @@ def bits_of(v: View, ranges: int, answers: list[dict]) -> tuple[np.ndarray, np.n
 
 
 def lead_of(v: View, which: np.ndarray, spec: Spec) -> np.ndarray:
-    """A sortable key of the anchor's leading tokens: 8 bytes, or the first word's hash."""
-    place = v.chunks["anchor"][which]
+    """A sortable key of the anchor: six leading bytes, then 16 bits of its hash; for words the hash of all of them.
+
+    Equal anchors have equal keys, and no common word or run of spaces draws many anchors to one range.
+    """
+    place, hashes = v.chunks["anchor"][which], v.chunks["ah"][which]
     if spec.words:
-        return v.tokens[place]
+        return hashes
     key = np.zeros(len(place), np.uint64)
-    for i in range(8):
+    for i in range(6):
         key = (key << np.uint64(8)) | v.tokens[place + i].astype(np.uint64)
-    return key
+    return (key << np.uint64(16)) | (hashes >> np.uint64(48))
 
 
 def send_texts(batches: DataFrame, answers: DataFrame, spec: Spec, ranges: int, splitters: np.ndarray) -> DataFrame:
@@ -523,16 +526,21 @@ def repeated(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
 
 
 def sample_splitters(batches: DataFrame, spec: Spec, ranges: int) -> np.ndarray:
-    """Splitters of the leading tokens, from a bounded sample of anchors (it sets balance, not results)."""
-    few = batches.orderBy(F.xxhash64("batch_id")).select("doc_ids", "sizes", "blob").limit(8)
+    """Splitters of the leading tokens, from a sample of anchors that grows with the ranges (it sets balance, not results).
+
+    Batches are chosen by their ids alone, so that no text leaves its task.
+    """
+    parts = max(4, ranges // 2)
+    few = max(8, -(-RANGE_SAMPLE * parts // BATCH_SAMPLE))
+    chosen = [r[0] for r in batches.select("batch_id").orderBy(F.xxhash64("batch_id")).limit(few).collect()]
 
     def run(it):
         for rows in it:
             for b in rows.to_pylist():
                 v = view(b["doc_ids"], b["sizes"], b["blob"], spec)
-                which = v.first[:: max(1, len(v.first) // (SPLITTER_SAMPLE // 8))]
-                yield pa.RecordBatch.from_arrays([pa.array(lead_of(v, which, spec).view(np.int64))], names=["lead"])
+                which = v.first[:: max(1, len(v.first) // BATCH_SAMPLE)]
+                yield pa.RecordBatch.from_arrays([pa.array([lead_of(v, which, spec).tobytes()], pa.binary())], names=["leads"])
 
-    found = np.sort(np.array([r[0] for r in few.mapInArrow(run, "lead long").collect()], np.int64).view(np.uint64))
-    parts = max(4, ranges // 2)
+    some = batches.where(F.col("batch_id").isin(chosen)).select("doc_ids", "sizes", "blob").mapInArrow(run, "leads binary").collect()
+    found = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in some), np.uint64))
     return np.unique(found[np.linspace(0, len(found) - 1, parts + 1).astype(int)[1:-1]]) if len(found) else found

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lathe.llm import shared, substring_dedup, suffix_dedup
+from lathe.llm import passages, shared, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, extra string, id long"
 
@@ -80,6 +80,16 @@ def test_bytes_against_brute_force(spark, monkeypatch, seed, batch):
         assert sorted(map(tuple, suffix_dedup.digest(df, window).collect())) == brute_bytes(rows, window)
 
 
+def test_texts_longer_than_a_slice(spark):
+    r = random.Random(4)
+    one = " ".join(r.choice(["alpha", "be", "gamma", "d", "x" * 9]) + str(r.randint(0, 400)) for _ in range(110_000))
+    rows = [(1, one), (2, one[300_000:] + "q" * 400_000), (3, "q" * 350 + one[:5000]), (4, "short " * 30)]
+    assert min(len(t) for _, t in rows[:2]) > 2 * passages.SLICE
+    df = spark.createDataFrame([(*x, "e", 7) for x in rows], SCHEMA)
+    assert sorted(map(tuple, substring_dedup.digest(df).collect())) == brute_words(rows, 13)
+    assert sorted(map(tuple, suffix_dedup.digest(df).collect())) == brute_bytes(rows, 100)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert substring_dedup.digest(df).collect() == []
