@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .passages import word_tokens
-from .shared import Scratch, texts_of
+from .shared import Scratch, texts_of, unused
 
 #: At most so many labelled rows are fitted; the only sample here.
 FIT_ROWS = 20_000
@@ -209,5 +209,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str | None = "source", pa
 def kept(docs: DataFrame, labels: DataFrame, host: str | None = "source", path: str | None = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that the classifier keeps. Rows that share an id are kept if one is kept; rows with a null id are kept."""
     verdict = classify(docs, labels, host, path, threshold)
-    rejected = verdict.groupBy("doc_id").agg(F.max("keep").alias("__keep")).where("not __keep").select(F.col("doc_id").alias("__rejected"))
-    return docs.join(rejected, docs["doc_id"] == F.col("__rejected"), "left_anti")
+    own = unused(docs, "rejected")
+    rejected = verdict.groupBy("doc_id").agg(F.max("keep").alias("kept")).where("not kept").select(F.col("doc_id").alias(own))
+    return docs.join(rejected, docs["doc_id"] == rejected[own], "left_anti")

@@ -20,10 +20,12 @@ BATCH_SCHEMA = "batch_id long, n_bytes long, doc_ids binary, sizes binary, blob
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset and all run on this machine, a new local one."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lathe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -73,6 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in capitals or not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all texts one after the other, their offsets); a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .passages import word_tokens
-from .shared import Scratch, mix, texts_of
+from .shared import Scratch, mix, texts_of, unused
 
 BITS = 256
 LIMIT = 58
@@ -268,5 +268,6 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def kept(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """The documents, with all their columns, without those that are not the smallest id of their class. Rows with a null id stay."""
-    gone = classes(docs, recall).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    own = unused(docs, "gone")
+    gone = classes(docs, recall).where("doc_id <> class_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

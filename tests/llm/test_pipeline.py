@@ -44,11 +44,29 @@ def test_awkward_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, count int")
     lines = P.distinct_lines(spark, docs, SF)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in lines.collect())
-    # the null id counts as the smallest; rows that share an id keep their own text
-    assert got == [(-1, "a b"), (1, ""), (2, ""), (3, "x y"), (3, "x y"), (4, "long line of words here")]
+    # the null id counts as the smallest; of rows that share an id one keeps the line that they have in common
+    assert got == [(-1, "a b"), (1, ""), (2, ""), (3, "x y"), (4, "long line of words here")]
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_rows_that_share_an_id_lose_what_repeats(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    names = "doc_id long, text string, n_chars int, key int, key_ int, twice int, new int, null int, rejected int, gone int, TEXT_ int"
+    extra = (0,) * 9
+    rows = [(2, f"{passage}\nfirst own line of this row", *extra), (2, f"{passage}\nanother own line that is here", *extra), (None, f"{passage}\nno id at all in this row", *extra), (1, f"{passage} and more words", *extra), (9, None, *extra)]
+    docs = spark.createDataFrame(rows, names)
+    lines = P.distinct_lines(spark, docs, SF)
+    assert lines.columns == docs.columns and lines.dtypes == docs.dtypes
+    kept = [r.text for r in lines.collect()]
+    # the longer line of row 1 is similar to the passage; the row goes, as it has no other
+    assert kept.count(None) == 1 and len(kept) == 4 and sum(passage in (t or "") for t in kept) == 1
+    words = P.distinct_passages(spark, docs, SF)
+    assert sum((t or "").count("w20") for t in (r.text for r in words.collect())) == 1
+    assert P.distinct_documents(spark, docs, SF).columns == docs.columns
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.kept(docs, labels, None, None).columns == docs.columns
+
+
 def test_run(spark):
     assert P.run(spark, SF).columns == packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).columns
