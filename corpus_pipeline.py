@@ -6,28 +6,38 @@ as Parquet and read again as the next one's documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import line_dedup, packing, quality, simhash_dedup, substring_dedup
-from lathe.llm.shared import Scratch, table
+from lathe.llm.shared import Scratch, table, unused
 
 
-def _replace_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Documents with new texts by doc_id, their other columns kept; those that lost all they had go.
+def _with_texts(docs: DataFrame, texts_without: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Documents with the texts that an operator leaves of them, their other columns kept; those that lost all they had go.
 
-    n_chars, where there is one, is that of the new text. Rows that share an id, or have none,
-    and null texts stay as they are.
+    texts_without: (doc_id, text) to (doc_id, text, emptied). n_chars, where there is one, is that of the new text; null
+    texts stay as they are. Rows that share an id, or have none, are documents of their own: for the operator each gets
+    an id below all others, so that they come first, and keeps its own in the result.
     """
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
-    shared = docs.join(twice, docs["doc_id"] == F.col("__twice"), "left_semi")
-    alone = docs.withColumn("__null", F.col("text").isNull()).drop("text").where("doc_id is not null").join(twice, docs["doc_id"] == F.col("__twice"), "left_anti")
-    new = texts.where("not emptied").select(F.col("doc_id").alias("__id"), F.col("text").alias("__new"))
-    joined = alone.join(new, docs["doc_id"] == F.col("__id"))
-    text = F.when(~F.col("__null"), F.col("__new"))
-    columns = {"text": text} | ({"n_chars": F.when(F.col("__null"), F.col("n_chars")).otherwise(F.length("__new")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    changed = joined.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
-    return changed.unionByName(shared).unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    key, twice, new, null = (unused(docs, x) for x in ("key", "twice", "new", "null"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(twice))
+    is_repeated = docs["doc_id"] == repeated[twice]
+    least = docs.agg(F.min("doc_id")).first()[0] or 0
+    if least < -(2**62):
+        raise ValueError("ids below -2**62 leave no room for rows that share an id")
+    shared = docs.join(repeated, is_repeated, "left_semi").unionByName(docs.where("doc_id is null"))
+    shared = scratch.table(shared.withColumn(key, F.lit(least - 1) - F.monotonically_increasing_id()), "shared")
+    alone = docs.where("doc_id is not null").join(repeated, is_repeated, "left_anti")
+    asked = alone.select("doc_id", "text").unionByName(shared.select(F.col(key).alias("doc_id"), "text"))
+    found = texts_without(asked).where("not emptied").select(F.col("doc_id").alias(f"{key}_"), F.col("text").alias(new))
+    rows = alone.withColumn(key, F.col("doc_id")).unionByName(shared).withColumn(null, F.col("text").isNull()).drop("text")
+    text = F.when(~F.col(null), F.col(new))
+    columns = {"text": text} | ({"n_chars": F.when(F.col(null), F.col("n_chars")).otherwise(F.length(new)).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return rows.join(found, rows[key] == found[f"{key}_"]).select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def _fresh(stage):
@@ -57,7 +67,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_fresh
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with one line of each class of similar lines."""
-    return _replace_text(docs, line_dedup.texts(docs))
+    return _with_texts(docs, line_dedup.texts)
 
 
 @_fresh
@@ -69,7 +79,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 @_fresh
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without words that repeat an earlier document's passage."""
-    return _replace_text(docs, substring_dedup.texts(docs))
+    return _with_texts(docs, substring_dedup.texts)
 
 
 @_fresh
