@@ -20,6 +20,7 @@ words).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import sys
 import zlib
 from array import array
@@ -75,18 +76,29 @@ class Transducer:
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def merged(self, text: str) -> list[str]:
-        """Merges of a BPE model: always the best pair, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Merges of a BPE model: always the best pair, leftmost on ties; a heap of pairs keeps it near linear in the length."""
+        n = len(text)
+        if n < 2:
+            return list(text)
+        score, parts = self.score, list(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (s := score.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != len(pair) or parts[i] + parts[j] != pair:
+                continue  # a side has merged with another since
+            parts[i], parts[j] = pair, ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n:
+                    s = score.get(parts[x] + parts[y])
+                    if s is not None:
+                        heapq.heappush(heap, (-s, x, parts[x] + parts[y]))
+        return [p for p in parts if p]
 
     def compatible(self, a: str, b: str) -> bool:
         row = self.fits.get(a)
@@ -267,7 +279,8 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     ids_crc32: checksum of the ids as unsigned little-endian 32-bit words. decoded_sha256: of
     the text that the ids decode to. round_trip: it equals the text (always, but for
     texts that hold the escape itself, which decodes to a space). A null or empty
-    text has no ids. Null ids and repeated rows pass through; an empty table gives no row.
+    text has no ids. Null ids and repeated rows pass through; an empty table gives no row. Very long
+    texts, words and runs of spaces take time in proportion to their length, or nearly.
     """
     path = path or model_path()
 

@@ -1,6 +1,7 @@
 """The transducer against the sentencepiece library, and round trips."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -31,6 +32,14 @@ def test_ids_are_those_of_the_library():
         assert raw.tobytes().decode("utf-8") == text.replace(S.ESCAPE, " ")
 
 
+def test_long_runs_and_words_stay_near_linear():
+    tool, lib = S.Transducer(S.model_path()), sentencepiece.SentencePieceProcessor(model_file=S.model_path())
+    for text in (" " * 200_000, "a" * 300_000, "x" + " " * 99_999 + "y", "é日" * 50_000, "thequickbrownfox" * 20_000, "ab c" * 100_000):
+        began = time.time()
+        ids = np.frombuffer(tool.encode(text)[0], "<u4").tolist()
+        assert time.time() - began < 20 and ids == lib.encode(text)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     lib = sentencepiece.SentencePieceProcessor(model_file=S.model_path())
