@@ -24,19 +24,29 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 
 
 def main(argv: list[str], spark=None) -> int:
-    from lathe.operators import records
+    from lathe.operators import parse, policy, records, vis
     from lathe.plans.tidy import tidy
     from lathe.sources import config, files, sinks
+    from pyspark.sql import functions as F
 
     args = arguments(argv)
     try:
+        if args.validate:
+            if args.no_config:
+                raise ValueError("--no-config was passed; there is no configuration to validate")
+            path = config.find(os.getcwd(), args.config)
+            if path is None:
+                raise ValueError(f"no configuration found; run from a folder with {config.NAME}")
+            config.load(path)
+            print(f"config valid: {path}")
+            return 0
         settings = config.discover(os.getcwd(), args.config, args.no_config)
-        found = [] if args.validate else files.inputs(args.paths)
+        policy.check_rules(args.include, "--include")
+        policy.check_rules(args.exclude, "--exclude")
+        found = files.inputs(args.paths)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
-    if args.validate:
-        return 0
     if not found:
         if args.output_mode == "json":
             print("[]")
@@ -49,13 +59,17 @@ def main(argv: list[str], spark=None) -> int:
     rust = next((p for p in found if p.lower().endswith(".rs")), None)
     root = config.crate_root(rust) if rust else None
     crate = files.decoded(files.read_folder(spark, os.path.dirname(root), ("rs",))) if root else None
+    if crate is not None:
+        scanned = parse.scan(crate.select("path", "text")).withColumn("crate", F.lit(root))
+        for r in vis.warnings(vis.module_edges(scanned)).orderBy("parent", "pos").toLocalIterator():
+            print(f"warning: {r.warning}", file=sys.stderr)
     texts, report = tidy(rows, settings, "dry_run" if args.dry_run else "apply", args.include, args.exclude, root, crate)
     positions = rows.select("path", "pos")
     if args.output_mode == "json":
         print(sinks.json_array(report, positions))
     else:
         for line in sinks.text_lines(report, positions):
-            print(line)
+            print(line, file=sys.stderr)
     sinks.write_in_place(texts, args.dry_run)
     failed = [r.path for r in texts.where("failed").select("path").orderBy("path").toLocalIterator()]
     for path in failed:

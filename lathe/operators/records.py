@@ -49,8 +49,8 @@ def in_json_order(records: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def json_objects(records: DataFrame) -> DataFrame:
-    """One JSON object a record; a missing line or name is left out of its object."""
-    return records.withColumn("json", F.to_json(F.struct(*FIELDS)))
+    """One JSON object a record; a missing line or name is null."""
+    return records.withColumn("json", F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}))
 
 
 def as_text(records: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -68,21 +70,50 @@ def parse(text: str, base: str = ".") -> Config:
     return out
 
 
-def discover(start: str, explicit: str | None = None, none: bool = False) -> Config | None:
-    """No configuration if none is set; else the explicit one; else the nearest above, up to a repository's top."""
+def find(start: str, explicit: str | None = None, none: bool = False) -> str | None:
+    """The path of the configuration: none if none is set; else the explicit one; else the nearest above, up to a repository's top."""
     if none:
         return None
     if explicit:
-        return parse(Path(explicit).read_text(), str(Path(explicit).resolve().parent))
+        return explicit
     at = Path(start).resolve()
     for folder in [at, *at.parents]:
         if (folder / NAME).is_file():
-            return parse((folder / NAME).read_text(), str(folder))
+            return str(folder / NAME)
         if (folder / ".git").exists():
             break
     return None
 
 
+def check_alive(config: Config) -> None:
+    """ValueError if a pattern of the configuration matches no file or folder below its own folder."""
+    patterns = [*config.exclude_files, *(g for globs, _ in [*config.include, *config.exclude] for g in globs)]
+    for pattern in patterns:
+        tries = _without_braces(pattern)
+        if not any(True for p in tries for _ in glob.iglob(p, root_dir=config.base, recursive=True, include_hidden=True)):
+            raise ValueError(f"config pattern {pattern!r} matched no files under {config.base}")
+
+
+def _without_braces(pattern: str) -> list[str]:
+    """The patterns that the alternatives in braces stand for."""
+    found = re.search(r"\{([^{}]*)\}", pattern)
+    if not found:
+        return [pattern]
+    return [x for part in found[1].split(",") for x in _without_braces(pattern[: found.start()] + part + pattern[found.end() :])]
+
+
+def load(path: str) -> Config:
+    """A configuration file, whose every pattern is valid and matches something; else ValueError."""
+    out = parse(Path(path).read_text(), str(Path(path).resolve().parent))
+    check_alive(out)
+    return out
+
+
+def discover(start: str, explicit: str | None = None, none: bool = False) -> Config | None:
+    path = find(start, explicit, none)
+    return load(path) if path else None
+
+
 def crate_root(start: str) -> str | None:
     """The root file of the crate that owns a path: lib.rs, else main.rs, or what the manifest names."""
     import tomllib

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 import subprocess
 from pathlib import Path
 
@@ -36,42 +37,77 @@ def read_folder(spark: SparkSession, root: str, extensions=EXTENSIONS, ignore: b
     return files
 
 
-def _ignored(root: str) -> list[tuple[str, bool]]:
-    """(regex over absolute paths, negated) of the .gitignore files from the repository's top down to the root and below."""
-    top = Path(root).resolve()
-    chain, at = [], top
-    while at != at.parent:
+def _rules(file: Path) -> list[tuple[str, bool]]:
+    """(regex over absolute paths, negated) of one .gitignore file. A hit is the path itself or a folder above it."""
+    rules = []
+    for line in file.read_text(encoding="utf-8", errors="replace").splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        negate, rule = rule.startswith("!"), rule.removeprefix("!")
+        folder_only, rule = rule.endswith("/"), rule.rstrip("/")
+        anchored, rule = "/" in rule, rule.removeprefix("/")
+        body = "/".join(".*" if part == "**" else fnmatch.translate(part)[4:-3].replace(".*", "[^/]*") for part in rule.split("/"))
+        body = body.replace(".*/", "(?:.*/)?")
+        base = "^" + re.escape(str(file.parent)).replace("\\-", "-") + "/"
+        rules.append((base + ("" if anchored else "(?:.*/)?") + body + ("/.*$" if folder_only else "(?:/.*)?$"), negate))
+    return rules
+
+
+def _above(top: Path) -> list[Path]:
+    """The .gitignore files from a repository's top down to a folder."""
+    chain = []
+    for at in (top, *top.parents):
         if (at / ".gitignore").is_file():
             chain.append(at / ".gitignore")
         if (at / ".git").exists():
             break
-        at = at.parent
+    return chain[::-1]
+
+
+def _ignored(root: str) -> list[tuple[str, bool]]:
+    """Rules of the .gitignore files from the repository's top down to the root and below."""
+    top = Path(root).resolve()
     below = sorted(p for p in top.rglob(".gitignore") if p.parent != top) if top.is_dir() else []
-    rules = []
-    for file in [*reversed(chain), *below]:
-        for line in file.read_text().splitlines():
-            rule = line.rstrip()
-            if not rule or rule.startswith("#"):
+    return [r for file in [*_above(top), *below] for r in _rules(file)]
+
+
+def walk(root: str, extensions=EXTENSIONS) -> list[str]:
+    """The files below a folder in order, hidden folders too; what a repository's .gitignore rules leave out isn't entered."""
+    top = Path(root).resolve()
+    kept_by_git = any((at / ".git").exists() for at in (top, *top.parents))
+    out = []
+
+    def visit(folder: Path, shown: str, rules: list[tuple[re.Pattern, bool]]) -> None:
+        own = folder / ".gitignore"
+        if kept_by_git and folder != top and own.is_file():
+            rules = [*rules, *((re.compile(x), n) for x, n in _rules(own))]
+        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+            is_folder = entry.is_dir(follow_symlinks=False)
+            tried = str(folder / entry.name) + ("/x" if is_folder else "")
+            gone = False
+            for rule, negate in rules:
+                if rule.match(tried):
+                    gone = not negate
+            if gone or entry.name == ".git":
                 continue
-            negate, rule = rule.startswith("!"), rule.removeprefix("!")
-            folder_only, rule = rule.endswith("/"), rule.rstrip("/")
-            anchored, rule = "/" in rule, rule.removeprefix("/")
-            body = "/".join(".*" if part == "**" else fnmatch.translate(part)[4:-3].replace(".*", "[^/]*") for part in rule.split("/"))
-            body = body.replace(".*/", "(?:.*/)?")
-            base = "^" + str(file.parent).replace(".", r"\.") + "/"
-            rules.append((base + ("" if anchored else "(?:.*/)?") + body + ("/.*$" if folder_only else "(?:/.*)?$"), negate))
-    return rules
+            if is_folder:
+                visit(folder / entry.name, f"{shown}/{entry.name}", rules)
+            elif entry.is_file() and entry.name.rsplit(".", 1)[-1].lower() in extensions and "." in entry.name[1:]:
+                out.append(f"{shown}/{entry.name}")
+
+    visit(top, root.rstrip("/") or "/", [(re.compile(x), n) for file in (_above(top) if kept_by_git else []) for x, n in _rules(file)])
+    return sorted(out)
 
 
 def resolve(path: str, extensions=EXTENSIONS) -> list[str]:
-    """The files of one path: itself, or a folder's in order. A missing path is an error."""
+    """The files of one path: itself, whatever is ignored, or those below a folder. A missing path is an error."""
     p = Path(path)
     if not p.exists():
         raise FileNotFoundError(path)
-    ok = lambda f: f.suffix[1:].lower() in extensions
     if p.is_file():
-        return [str(p)] if ok(p) else []
-    return sorted(str(f) for f in p.rglob("*") if f.is_file() and ok(f) and ".git" not in f.parts)
+        return [str(p)] if p.suffix[1:].lower() in extensions else []
+    return walk(path, extensions)
 
 
 def resolve_all(paths: list[str], extensions=EXTENSIONS) -> list[str]:
