@@ -256,7 +256,19 @@ def toposort_levels(spark, sf):
     nodes = _table(spark, sf, "part", "p_partkey div 60 as graph", "p_partkey % 60 as node", "p_name as name")
     ends = nodes.select("graph", F.col("node").alias("dst")).where("dst > 0")
     edges = ends.select("graph", F.expr("(dst - 1) div 2").alias("src"), "dst")
-    return graph.toposorted(graph.levels(nodes, edges)).select("graph", "node", "level", "out_pos")
+    return graph.toposorted_whole(nodes, edges).where("level is not null").select("graph", "node", "level", "out_pos")
+
+
+def _levels_by_waves(spark, sf) -> DataFrame:
+    """The same for graphs of any size, wave by wave over the cluster."""
+    nodes = _table(spark, sf, "part", "p_partkey div 60 as graph", "p_partkey % 60 as node", "p_name as name")
+    ends = nodes.select("graph", F.col("node").alias("dst")).where("dst > 0")
+    found = graph.toposorted(graph.levels(nodes, ends.select("graph", F.expr("(dst - 1) div 2").alias("src"), "dst")))
+    return found.where("level is not null").select("graph", "node", "level", "out_pos")
+
+
+QUERIES["toposort_levels_by_waves"] = _levels_by_waves
+SQL["toposort_levels_by_waves"] = SQL["toposort_levels"]
 
 
 KIND = "case p_partkey % 10 when 0 then 'fn' when 1 then 'struct' when 2 then 'use' when 3 then 'mod' when 4 then 'macro-invocation' when 5 then 'macro' when 6 then 'impl' when 7 then 'const' when 8 then 'trait' else 'other' end"

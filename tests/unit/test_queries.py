@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lathe.plans import catalog
+from lathe.plans import catalog, more_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
