@@ -237,7 +237,12 @@ def unplanes(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel()
 
 
-def answer_chunks(sent: DataFrame, spec: Spec) -> DataFrame:
+def by_range(cells: DataFrame, ranges: int):
+    """Cells by range, about one range a task: adaptive execution would join ranges, whose cells a task then holds together."""
+    return cells.repartition(min(max(ranges, 1), 1 << 17), "part").groupBy("part")
+
+
+def answer_chunks(sent: DataFrame, spec: Spec, ranges: int) -> DataFrame:
     """For each entry of each batch: an identical chunk is earlier; its anchor has several chunks."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -275,7 +280,7 @@ def answer_chunks(sent: DataFrame, spec: Spec) -> DataFrame:
             names=["batch_id", "part", "kind", "late", "more"],
         )
 
-    return sent.groupBy("part").applyInArrow(run, ANSWER)
+    return by_range(sent, ranges).applyInArrow(run, ANSWER)
 
 
 def bits_of(v: View, ranges: int, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +370,7 @@ def classes(words: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def answer_texts(texts: DataFrame, spec: Spec) -> DataFrame:
+def answer_texts(texts: DataFrame, spec: Spec, ranges: int) -> DataFrame:
     """For each representative: a mask of its windows that also start earlier."""
     L = spec.window
 
@@ -433,7 +438,7 @@ def answer_texts(texts: DataFrame, spec: Spec) -> DataFrame:
             names=["batch_id", "part", "kind", "late", "more"],
         )
 
-    return texts.groupBy("part").applyInArrow(run, ANSWER)
+    return by_range(texts, ranges).applyInArrow(run, ANSWER)
 
 
 def stream(tokens: np.ndarray, base: np.ndarray, length: np.ndarray, doc: np.ndarray, rows: np.ndarray, mask: np.ndarray, L: int) -> None:
@@ -501,10 +506,10 @@ def repeated(docs: DataFrame, spec: Spec, finish, schema: str) -> DataFrame:
     size = batches.agg(F.sum("n_bytes")).first()[0] or 0
     tokens = size / 6 if spec.words else size
     ranges = max(4, round(tokens * 2 / (spec.window - spec.gram + 2) / RANGE_ENTRIES))
-    answers = scratch.table(answer_chunks(send(batches, spec, ranges), spec), "chunks")
+    answers = scratch.table(answer_chunks(send(batches, spec, ranges), spec, ranges), "chunks")
     splitters = sample_splitters(batches, spec, ranges)
     texts = send_texts(batches, answers, spec, ranges, splitters)
-    masks = scratch.table(answer_texts(texts, spec), "masks")
+    masks = scratch.table(answer_texts(texts, spec, len(splitters) + 1), "masks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.to_pylist()
