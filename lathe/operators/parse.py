@@ -16,11 +16,11 @@ SCANNED = (
 )
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
+        return pa.list_(arrow_type(kind.elementType))
     if isinstance(kind, T.StructType):
-        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind])
     return {T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}[type(kind)]
 
 
@@ -29,7 +29,7 @@ def scan(files: DataFrame) -> DataFrame:
     names = files.columns
     added = T.StructType.fromDDL(SCANNED)
     out = T.StructType([*files.schema.fields, *added.fields])
-    kinds, added_names = [_arrow(f.dataType) for f in added], added.names
+    kinds, added_names = [arrow_type(f.dataType) for f in added], added.names
     text_at = names.index("text")
 
     def run(it):

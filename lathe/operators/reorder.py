@@ -26,6 +26,22 @@ def lines_kept(old: str, new: str) -> bool:
     return count(old) == count(new) and line_ending(old) == line_ending(new)
 
 
+MOVES = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("message", pa.string())]))
+
+
+def reordered(text: str, scan_of=Scan) -> tuple[str, list[dict], bool]:
+    """(new text, moves, whether the text is broken and stays)."""
+    if not text.strip(SPACE):
+        return text, [], False
+    scan = scan_of(text)
+    items = scan.rows()
+    order = ordering.order_items(items, scan.edges())
+    new = ordering.emit(text, items, order, scan.preamble_end, scan.trailer_start, line_ending(text), SPACE)
+    if sorted(order) != list(range(len(items))) or not lines_kept(text, new):
+        return text, [], True
+    return new, [{"line": items[k]["start_line"], "kind": items[k]["kind"], "name": items[k]["name"], "message": m} for k, m in ordering.moves(items, order)], False
+
+
 def reorder(files: DataFrame, when: Column | None = None) -> DataFrame:
     """Files with new_text, found (line, kind, name, message of each move), and broken.
 
@@ -33,25 +49,13 @@ def reorder(files: DataFrame, when: Column | None = None) -> DataFrame:
     them non-blank files without items. A blank file keeps its text.
     """
     names = files.columns
-    kind = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("message", pa.string())]))
     out = T.StructType([*files.schema.fields, *T.StructType.fromDDL("new_text string, found array<struct<line:int,kind:string,name:string,message:string>>, broken boolean").fields])
     n, text_at = len(names), names.index("text")
 
-    def one(text: str) -> tuple[str, list, bool]:
-        if not text.strip(SPACE):
-            return text, [], False
-        scan = Scan(text)
-        items = scan.rows()
-        order = ordering.order_items(items, scan.edges())
-        new = ordering.emit(text, items, order, scan.preamble_end, scan.trailer_start, line_ending(text), SPACE)
-        if sorted(order) != list(range(len(items))) or not lines_kept(text, new):
-            return text, [], True
-        return new, [{"line": items[k]["start_line"], "kind": items[k]["kind"], "name": items[k]["name"], "message": m} for k, m in ordering.moves(items, order)], False
-
     def run(it):
         for batch in it:
-            rows = [one(t) if go and t is not None else (t, [], False) for go, t in zip(batch.column(n).to_pylist(), batch.column(text_at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.bool_())], names=[*names, "new_text", "found", "broken"])
+            rows = [reordered(t) if go and t is not None else (t, [], False) for go, t in zip(batch.column(n).to_pylist(), batch.column(text_at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], MOVES), pa.array([r[2] for r in rows], pa.bool_())], names=[*names, "new_text", "found", "broken"])
 
     go = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
     return files.withColumn("__go", go).mapInArrow(run, out)

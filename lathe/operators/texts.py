@@ -41,31 +41,33 @@ def _row(line=None, old=None, new=None) -> dict:
     return {"line": line, "old": old, "new": new}
 
 
-def fix_tables(files: DataFrame, when: Column | None = None) -> DataFrame:
-    """Aligned tables; found has one element if anything changed."""
+def table_kernel(text: str) -> tuple[str, list[dict]]:
+    new = kernels.fix_tables(text)
+    return new, [_row()] if new != text else []
 
-    def kernel(text):
-        new = kernels.fix_tables(text)
-        return new, [_row()] if new != text else []
 
-    return per_file(files, kernel, when=when)
+def fence_kernel(text: str) -> tuple[str, list[dict]]:
+    new, lines = kernels.fix_fences(text)
+    return new, [_row(line) for line in lines]
 
 
-def fix_fences(files: DataFrame, when: Column | None = None) -> DataFrame:
-    """Nested fences with alternate markers; found has the flipped lines."""
+def link_kernel(text: str, least: int = 1) -> tuple[str, list[dict]]:
+    new, pairs = kernels.fix_links(text, least)
+    return new, [_row(None, f"[{t}]({u})", f"[{t}]") for t, u in pairs]
+
+
+def fix_tables(files: DataFrame, when: Column | None = None) -> DataFrame:
+    """Aligned tables; found has one element if anything changed."""
+    return per_file(files, table_kernel, when=when)
 
-    def kernel(text):
-        new, lines = kernels.fix_fences(text)
-        return new, [_row(line) for line in lines]
 
-    return per_file(files, kernel, when=when)
+def fix_fences(files: DataFrame, when: Column | None = None) -> DataFrame:
+    """Nested fences with alternate markers; found has the flipped lines."""
+    return per_file(files, fence_kernel, when=when)
 
 
 def fix_links(files: DataFrame, least: int | str = 1, when: Column | None = None) -> DataFrame:
     """Links that occur `least` times (a number, or a column's name) hoisted; found has (old, new) of each."""
-
-    def kernel(text, least=least):
-        new, pairs = kernels.fix_links(text, least if isinstance(least, int) else 1)
-        return new, [_row(None, f"[{t}]({u})", f"[{t}]") for t, u in pairs]
-
-    return per_file(files, kernel, (least,) if isinstance(least, str) else (), when)
+    if isinstance(least, str):
+        return per_file(files, link_kernel, (least,), when)
+    return per_file(files, lambda text: link_kernel(text, least), when=when)

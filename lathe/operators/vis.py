@@ -109,6 +109,14 @@ def narrowed_items(items: DataFrame, file_floors: DataFrame, reexports: DataFram
     return unblocked(bare, reexports).join(file_floors.where("floor is not null"), ["crate", "path"])
 
 
+def narrowed(text: str, floor: str | None, blocked: list[str] | None, scan_of=Scan) -> str:
+    """The text with narrowed visibility; without names that are blocked, its own re-exports count."""
+    if "pub" not in text:
+        return text
+    scan = scan_of(text)
+    return narrow(text, scan, floor, set(blocked) if blocked is not None else scan.reexports())
+
+
 def narrow_files(files: DataFrame, when: Column | None = None) -> DataFrame:
     """Files (text, floor, blocked: array of names or null for the file's own) with new_text."""
     names = files.columns
@@ -119,10 +127,7 @@ def narrow_files(files: DataFrame, when: Column | None = None) -> DataFrame:
         for batch in it:
             new = []
             for go, text, floor, blocked in zip(batch.column(n).to_pylist(), *(batch.column(i).to_pylist() for i in at)):
-                if go and text and "pub" in text:
-                    scan = Scan(text)
-                    text = narrow(text, scan, floor, set(blocked) if blocked is not None else scan.reexports())
-                new.append(text)
+                new.append(narrowed(text, floor, blocked) if go and text else text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(new, pa.string())], names=[*names, "new_text"])
 
     go = F.lit(True) if when is None else F.coalesce(when, F.lit(False))

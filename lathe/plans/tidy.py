@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lathe.functions.rustscan import Scan
 from lathe.operators import lints, parse, policy, records, reorder, texts, vis
 from lathe.sources.config import Config
 from lathe.sources.files import has_extension
 from lathe.sources.scratch import written
 
 MODES = ("dry_run", "apply")
+OPS = ("tables", "fences", "links", "reorder", "vis", "lints")
 
 
 def with_policy(files: DataFrame, config: Config | None, include=(), exclude=()) -> DataFrame:
@@ -51,6 +55,51 @@ def _floored(files: DataFrame, context) -> DataFrame:
     return files.join(inside, "path", "left")
 
 
+def _one_pass(state: DataFrame, apply: bool) -> DataFrame:
+    """state (text, goes: a flag for each of OPS, links_min, floor, blocked, path, pos, enabled, disabled, changing) with what all operators find, in one pass over the texts.
+
+    Operators that see one text share its scan.
+    """
+    kept = ["path", "text", "pos", "enabled", "disabled", "changing"]
+    found = T.StructType.fromDDL(f"new_text string, tables {texts.FOUND}, fences {texts.FOUND}, links {texts.FOUND}, reorder array<struct<line:int,kind:string,name:string,message:string>>, vis_old string, vis_new string, failed boolean, {parse.SCANNED.split(', edges')[0]}")
+    state = state.select(*kept, "goes", "links_min", "floor", "blocked")
+    kinds = [parse.arrow_type(f.dataType) for f in found]
+
+    def run(it):
+        for batch in it:
+            rows = [_tidied(*r, apply) for r in zip(*(batch.column(c).to_pylist() for c in (1, 6, 7, 8, 9)))]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *found.names])
+
+    return state.mapInArrow(run, T.StructType([*state.select(*kept).schema.fields, *found.fields]))
+
+
+def _tidied(text: str | None, goes: list[bool], least: int, floor: str | None, blocked: list[str] | None, apply: bool) -> tuple:
+    """(new_text, tables, fences, links, moves, text before and after narrowing, failed, items) of one file."""
+    if text is None:
+        return None, [], [], [], [], None, None, True, []
+    scans: dict[str, Scan] = {}
+
+    def scan_of(t: str) -> Scan:
+        if t not in scans:
+            scans[t] = Scan(t)
+        return scans[t]
+
+    now, fixes = text, []
+    for go, kernel in zip(goes, (texts.table_kernel, texts.fence_kernel, lambda t: texts.link_kernel(t, least))):
+        now, found = kernel(now) if go else (now, [])
+        fixes.append(found)
+    now, moved, failed = now if apply else text, [], False
+    if goes[3]:
+        new, moved, failed = reorder.reordered(now, scan_of)
+        now = new if apply else now
+    old = now
+    new = vis.narrowed(old, floor, blocked, scan_of) if goes[4] and not failed and old else old
+    now = new if apply else now
+    items = scan_of(now).rows() if goes[5] and not failed else []
+    return now if apply else text, *fixes, moved, old, new, failed, items
+
+
 def tidy(files: DataFrame, config: Config | None = None, mode: str = "dry_run", include=(), exclude=(), root: str | None = None, crate_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, records) of files (path, ext, text, pos).
 
@@ -64,37 +113,20 @@ def tidy(files: DataFrame, config: Config | None = None, mode: str = "dry_run",
         raise ValueError(f"mode is one of {MODES}")
     rust = has_extension(F.col("ext"), ("rs",))
     apply = mode == "apply"
-    ok = ~F.col("failed")
-    state = with_policy(files.select("path", "ext", "text", "pos"), config, include, exclude).withColumn("failed", F.col("text").isNull())
-    state = state.withColumn("original", F.col("text"))
-
-    def done(df: DataFrame, found: str, text: Column) -> DataFrame:
-        return df.withColumn("text", text).withColumnRenamed("found", found).drop("new_text")
-
-    # the fixes compose in memory in either mode
-    state = done(texts.fix_tables(state, policy.runs("tables") & ok), "tables", F.col("new_text"))
-    state = done(texts.fix_fences(state, policy.runs("fences") & ok), "fences", F.col("new_text"))
-    state = done(texts.fix_links(state, "links_min", policy.runs("links") & ok), "links", F.col("new_text"))
-    if not apply:
-        state = state.withColumn("text", F.col("original"))
-    new = reorder.reorder(state, rust & policy.runs("reorder") & ok)
-    state = done(new, "reorder", F.col("new_text") if apply else F.col("text")).withColumn("failed", F.col("failed") | F.col("broken")).drop("broken")
-    floored = _floored(state, crate_context(files if crate_files is None else crate_files, root))
-    new = vis.narrow_files(floored, rust & policy.runs("vis") & ok).withColumnRenamed("text", "vis_old").withColumnRenamed("new_text", "vis_new")
-    state = new.withColumn("text", F.col("vis_new") if apply else F.col("vis_old")).drop("floor", "blocked")
-    linting = rust & policy.lints_run() & ok
-    scanned = parse.scan(state.withColumn("whole", F.col("text")).withColumn("text", F.when(linting, F.col("text")))).drop("text", "edges", "modules", "reexports", "preamble_end", "trailer_start").withColumnRenamed("whole", "text")
+    state = with_policy(files.select("path", "ext", "text", "pos"), config, include, exclude)
+    state = _floored(state, crate_context(files if crate_files is None else crate_files, root))
+    goes = {"tables": policy.runs("tables"), "fences": policy.runs("fences"), "links": policy.runs("links"), "reorder": rust & policy.runs("reorder"), "vis": rust & policy.runs("vis"), "lints": rust & policy.lints_run()}
+    changing = goes["tables"] | goes["fences"] | goes["links"] | goes["reorder"] | goes["vis"]
+    state = state.withColumn("changing", changing).withColumn("goes", F.array(*(F.coalesce(goes[op], F.lit(False)) for op in OPS)))
     # the whole chain runs once, without a shuffle but for the crate's floors; records and texts read what it leaves
-    state = written(files.sparkSession, scanned)
+    state = written(files.sparkSession, _one_pass(state, apply))
     hits = lints.run_all(parse.items(state))
     every = [records.fix_records(state.withColumnRenamed(op, "found"), op) for op in ("tables", "fences", "links")]
     every.append(records.reorder_records(state.withColumnRenamed("reorder", "found")))
     narrowed = vis.records(state.select("path", F.col("vis_old").alias("text"), F.col("vis_new").alias("new_text")))
     every.append(records.vis_records(narrowed))
     every.append(records.lint_records(policy.suppress(hits, state.select("path", "enabled", "disabled"))))
-    changing = policy.runs("tables") | policy.runs("fences") | policy.runs("links") | (rust & (policy.runs("reorder") | policy.runs("vis")))
-    new_text = F.col("text") if apply else F.col("original")
-    out = state.select("path", F.col("original").alias("text"), new_text.alias("new_text"), "failed", (changing & ok).alias("processed"), "pos")
+    out = state.select("path", "text", "new_text", "failed", (F.col("changing") & ~F.col("failed")).alias("processed"), "pos")
     return out, reduce(DataFrame.unionByName, every)
 
 
