@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.sources.scratch import written
+from lathe.sources.scratch import forget, written
 
 
 def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -35,9 +35,11 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
         if wave == most:
             raise ValueError(f"more than {most} waves")
         done.append(free)
-        taken = free.select("graph", "node")
+        taken, old = free.select("graph", "node"), (left, live)
         left = written(spark, left.join(taken, ["graph", "node"], "left_anti"))
         live = written(spark, live.join(taken.withColumnRenamed("node", "src"), ["graph", "src"], "left_anti").select("graph", "src", "dst"))
+        for df in old:
+            forget(df)
     found = done[0] if done else left.withColumn("level", F.lit(0)).limit(0)
     for more in done[1:]:
         found = found.unionByName(more)

@@ -81,7 +81,9 @@ def floors_by_rounds(edges: DataFrame, roots: DataFrame, most: int | None = None
             break
         if depth == most:
             raise ValueError(f"files nested deeper than {most} modules")
-        seen = written(spark, seen.unionByName(front))
+        seen = seen.unionByName(front)
+        if depth % 32 == 31:  # a round reads what is new; only now and then is all of it written again
+            seen = written(spark, seen)
     return seen
 
 

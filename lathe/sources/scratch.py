@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +25,21 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same rows, read back from Parquet."""
     path = f"{shared_folder(spark)}/lathe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what written() left for these rows, which nothing may read any more; other rows are left alone."""
+    path = _PATHS.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def local_folder(spark: SparkSession) -> str:
