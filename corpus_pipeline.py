@@ -15,6 +15,10 @@ from lathe.llm import line_dedup, packing, quality, simhash_dedup, substring_ded
 from lathe.llm.shared import Scratch, table, unused
 
 
+#: Repeated ids that may be broadcast: 8 bytes each.
+MOST_IDS = 1_000_000
+
+
 def _with_texts(docs: DataFrame, texts_without: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Documents with the texts that an operator leaves of them, their other columns kept; those that lost all they had go.
 
@@ -24,7 +28,9 @@ def _with_texts(docs: DataFrame, texts_without: Callable[[DataFrame], DataFrame]
     """
     scratch = Scratch(docs.sparkSession)
     key, twice, new, null = (unused(docs, x) for x in ("key", "twice", "new", "null"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(twice))
+    repeated = scratch.table(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(twice)), "repeated")
+    if repeated.count() <= MOST_IDS:  # else whole texts move to tell these rows from others
+        repeated = F.broadcast(repeated)
     is_repeated = docs["doc_id"] == repeated[twice]
     least = docs.agg(F.min("doc_id")).first()[0] or 0
     if least < -(2**62):
