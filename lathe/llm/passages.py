@@ -147,7 +147,7 @@ def chunks_of(tokens: np.ndarray, bounds: np.ndarray, spec: Spec) -> dict[str, n
         parts["start"].append(start + s0)
         parts["count"].append(count)
         parts["anchor"].append(anchor + s0)
-        parts["ah"].append(grams[anchor])
+        parts["ah"].append(mix(grams[anchor]))  # anchors are smallest hashes: scrambled again they fill all ranges alike
         whole = (run[end] - run[start]) * down[start]
         parts["ch"].append(mix(whole + (count.astype(np.uint64) << np.uint64(20)) + (anchor - start).astype(np.uint64)))
     kinds = {"start": np.int64, "count": np.int64, "anchor": np.int64, "ah": np.uint64, "ch": np.uint64}
