@@ -7,7 +7,10 @@ difference to each possible centre filters fingerprints into lists (weight 0: th
 lists of a strip partition the fingerprints). Lists recurse on further random
 strips until they are small, then they are compared by brute force. Strips are
 repeated at each level until a pair at LIMIT is met with probability RECALL;
-closer pairs are met more surely. Every list is compared whole.
+closer pairs are met more surely. What a list has shown to be of one class is compared
+no more in it, and a list gives a tree for each class, so that a class that grows with the table
+costs neither its pairs in each strip nor rows for them. The links of each row are counted
+afterwards, within its class.
 """
 
 from __future__ import annotations
@@ -19,19 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, roots
 from .passages import word_tokens
-from .shared import Scratch, mix, texts_of, unused
+from .shared import Scratch, mix, release, texts_of, unused
 
 BITS = 256
 LIMIT = 58
 RECALL = 0.99
 #: Lists of at most so many fingerprints are compared by brute force.
 SMALL = 192
+#: Rows of a long list that are compared with all others before pairs are.
+HUBS = 4
 #: Lists of the first strips have about so many.
-FIRST_LIST = 30_000
+FIRST_LIST = 200_000
 #: A task takes no longer list than this; longer ones recurse over the cluster, DEPTH times, and then go by pairs of blocks.
-MOST_LIST = 150_000
+MOST_LIST = 600_000
+#: With fewer lists than TASKS, several tasks share a list's strips, one for each SHARE of all fingerprints at most.
+TASKS, SHARE = 12, 8000
+#: Members of small classes whose links one task counts, and the block of a larger class.
+PART, BLOCK = 100_000, 16_000
 DEPTH = 4
 PIECE = 1 << 20
 #: Chance that unrelated texts agree in a coordinate; it sets how fast lists shrink, not what is found.
@@ -111,61 +120,138 @@ def repeats(bits: int, recall: float, inner: float = 1.0) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
 
 
-def near(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs (a, b) differ in at most LIMIT bits; word pairs first, as they tell texts apart best."""
-    d = np.bitwise_count(f[a, 2] ^ f[b, 2]) + np.bitwise_count(f[a, 3] ^ f[b, 3])
+def close(f: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) differ in at most LIMIT bits (f: 4 x n); word pairs first, as they tell texts apart best."""
+    d = np.bitwise_count(f[2][a] ^ f[2][b]) + np.bitwise_count(f[3][a] ^ f[3][b])
     out = np.flatnonzero(d <= LIMIT)
     x, y = a[out], b[out]
-    rest = np.bitwise_count(f[x, 0] ^ f[y, 0]).astype(np.int32) + np.bitwise_count(f[x, 1] ^ f[y, 1])
+    rest = np.bitwise_count(f[0][x] ^ f[0][y]).astype(np.int32) + np.bitwise_count(f[1][x] ^ f[1][y])
     return out[d[out] + rest <= LIMIT]
 
 
-def brute_lists(f: np.ndarray, rows: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
-    """Linked pairs among rows of equal key (sorted), all lists at once: each row against the s-th after it."""
-    out, at, s = [], np.arange(len(rows)), 1
+def united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels (the smallest row of each class) after x and y are linked."""
+    nodes, root = roots(label[x], label[y])
+    to = np.arange(len(label))
+    to[nodes] = root
+    return to[label]
+
+
+def short_lists(f: np.ndarray, label: np.ndarray, rows: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of different classes, all lists at once (end: where each row's list ends): each row against the s-th after it."""
+    f, label = f[:, rows], label[rows]
+    found, at, s = [np.zeros((2, 0), np.int64)], np.arange(len(rows)), 1
     while True:
-        at = at[at + s < len(rows)]
-        at = at[key[at + s] == key[at]]
+        at = at[at + s < end[at]]
         if not len(at):
-            return out
+            return tuple(rows[np.concatenate(found, 1)])
         for i in range(0, len(at), 1 << 16):
-            x, y = rows[at[i : i + (1 << 16)]], rows[at[i : i + (1 << 16)] + s]
-            hit = near(f, x, y)
-            if len(hit):
-                out.append(np.stack([x[hit], y[hit]], 1))
+            x = at[i : i + (1 << 16)]
+            x = x[close(f, x, x + s)]
+            found.append(np.stack([x, x + s])[:, label[x] != label[x + s]])
         s += 1
 
 
-def recurse(f: np.ndarray, rows: np.ndarray, seed: int, depth: int = 0) -> np.ndarray:
-    """Linked pairs of a list (k x 2, the smaller row first), met with probability 0.97 at LIMIT."""
-    if len(rows) <= SMALL or depth > 5:
-        return _merge(brute_lists(f, rows, np.zeros(len(rows), np.int8)))
-    bits = max(2, min(14, round(math.log(len(rows) / (SMALL / 3)) / -math.log(AGREE))))
-    out: list[np.ndarray] = []
-    for k, coordinates in enumerate(strips(seed + 7919 * (depth + 1), repeats(bits, 0.97), bits)):
-        value = strip_values(f[rows], coordinates)
-        order = np.argsort(value, kind="stable")
-        value, sorted_rows = value[order], rows[order]
+def long_list(f: np.ndarray, label: np.ndarray, most: float) -> tuple[np.ndarray, bool]:
+    """(label after links were looked for, whether all were compared) of one list: a few rows against all others first, then all pairs of different classes, unless there are more than `most`."""
+    n, every = len(label), np.arange(len(label))
+    for t in range(HUBS):
+        if (label == label[0]).all():
+            return label, True
+        hub = np.full(n, (2 * t + 1) * n // (2 * HUBS))
+        hit = close(f, every, hub)
+        label = united(label, every[hit], hub[hit])
+    order = np.argsort(label, kind="stable")
+    own = label[order]
+    first = np.searchsorted(own, own, "right")  # rows after a row's class are of others
+    total = np.concatenate([[0], np.cumsum(n - first)])
+    if total[-1] > most:
+        return label, False
+    f, links, x = f[:, order], [], 0
+    while x < n:
+        y = max(x + 1, int(np.searchsorted(total, total[x] + (1 << 20), "right")) - 1)
+        a = np.repeat(np.arange(x, y), n - first[x:y])
+        b = first[a] + np.arange(total[x], total[y]) - total[a]
+        hit = close(f, a, b)
+        links.append(np.stack([a[hit], b[hit]]))
+        x = y
+    return united(label, *order[np.concatenate(links, 1)]), True
+
+
+def strip_bits(f: np.ndarray, seed: int) -> int:
+    """Bits of a strip at which lists of these rows are short: measured on a few strips."""
+    n = f.shape[1]
+    tried = [strip_values(f.T, c) for c in strips(seed, 3, 16)]
+    for bits in range(2, 16):
+        meet = 0.0
+        for value in tried:
+            size = np.bincount(value >> (16 - bits))
+            meet += (size * np.minimum(size, SMALL)).sum() / n
+        if meet / len(tried) <= SMALL / 6:
+            break
+    return bits
+
+
+def joined(f: np.ndarray, label: np.ndarray, seed: int, recall: float = 0.97, depth: int = 0, share: int = 0, shares: int = 1) -> np.ndarray:
+    """Classes of a list's rows (f: 4 x n) in which a pair at LIMIT is met with this probability.
+
+    label: the class of each row, as known before, by its smallest row. What is known to be of one class is
+    compared no more. Of several shares of the work each takes its strips.
+    """
+    n = len(label)
+    if n <= SMALL or depth > 5:
+        return long_list(f, label, math.inf)[0] if share == 0 else label
+    bits = strip_bits(f, seed)
+    for k, coordinates in enumerate(strips(seed + 7919 * (depth + 1), repeats(bits, recall), bits)):
+        if k % shares != share:
+            continue
+        value = strip_values(f.T, coordinates).astype(np.uint16)
+        rows = np.argsort(value, kind="stable")  # by radix
+        value = value[rows]
         cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
-        size = np.diff(cut)
-        large = np.flatnonzero(size > 8 * SMALL)
-        if len(large) and size.max() > 0.9 * len(rows):  # strips don't split it: rows are alike
-            return _merge(brute_lists(f, rows, np.zeros(len(rows), np.int8)))
-        for i in large:
-            out.append(recurse(f, sorted_rows[cut[i] : cut[i + 1]], seed + k, depth + 1))
-        small = np.repeat(size <= 8 * SMALL, size)
-        out += brute_lists(f, sorted_rows[small], value[small])
-        if len(out) > 4000:
-            out = [_merge(out)]
-    return _merge(out)
-
-
-def _merge(parts: list[np.ndarray]) -> np.ndarray:
-    if not parts:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.sort(np.concatenate(parts), axis=1)
-    code = np.unique(pairs[:, 0] << np.int64(32) | pairs[:, 1])
-    return np.stack([code >> np.int64(32), code & np.int64(0xFFFFFFFF)], 1)
+        size, own = np.diff(cut), label[rows]
+        mixed = np.minimum.reduceat(own, cut[:-1]) < np.maximum.reduceat(own, cut[:-1])
+        for i in np.flatnonzero(mixed & (size > SMALL)).tolist():
+            part = np.sort(rows[cut[i] : cut[i + 1]])
+            _, first, known = np.unique(label[part], return_index=True, return_inverse=True)
+            alike = size[i] > 0.9 * n  # strips don't split it
+            inner, over = long_list(f[:, part], first[known], math.inf if alike else 32 * SMALL * SMALL)
+            if not over:
+                inner = joined(f[:, part], inner, seed + k, 0.97, depth + 1)
+            label = united(label, part, part[inner])
+            if alike:
+                return label
+        some = mixed & (size <= SMALL)
+        keep = np.repeat(some, size)
+        end = np.repeat(np.cumsum(size[some]), size[some])
+        x, y = short_lists(f, label, rows[keep], end)
+        if len(x):
+            label = united(label, x, y)
+    return label
+
+
+def links_within(f: np.ndarray, weight: np.ndarray, key: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Weight of the rows linked to each row among those of equal key (sorted); with sides, of the other side only."""
+    out = np.zeros(len(key), np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(cut)
+    small = size <= SMALL if side is None else np.zeros(len(size), bool)
+    rows, end = np.flatnonzero(np.repeat(small, size)), np.repeat(np.cumsum(size[small]), size[small])
+    x, y = short_lists(f, np.arange(len(key)), rows, end)
+    np.add.at(out, x, weight[y])
+    np.add.at(out, y, weight[x])
+    for i in np.flatnonzero(~small).tolist():
+        a, b = cut[i], cut[i + 1]
+        for x in range(a, b, 64):
+            y = min(x + 64, b)
+            half = [np.bitwise_count(f[w][x:y, None] ^ f[w][None, x:b]) + np.bitwise_count(f[w + 1][x:y, None] ^ f[w + 1][None, x:b]) for w in (0, 2)]
+            near = half[0].astype(np.uint16) + half[1] <= LIMIT
+            near &= np.arange(x, b)[None] > np.arange(x, y)[:, None]
+            if side is not None:
+                near &= side[x:y, None] != side[None, x:b]
+            out[x:y] += near @ weight[x:b]
+            out[x:b] += weight[x:y] @ near
+    return out
 
 
 ROW = "list long, id long, f0 long, f1 long, f2 long, f3 long"
@@ -187,13 +273,24 @@ def _spread(rows: DataFrame, coordinates: np.ndarray) -> DataFrame:
 
 def _ids_and_prints(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     group = group.sort_by("id")
-    return group["id"].to_numpy(), np.stack([group[f"f{i}"].to_numpy().view(np.uint64) for i in range(4)], 1)
+    return group["id"].to_numpy(), np.stack([group[f"f{i}"].to_numpy().view(np.uint64) for i in range(4)])
 
 
-def _search(group: pa.Table) -> pa.Table:
-    ids, f = _ids_and_prints(group)
-    found = recurse(f, np.arange(len(ids)), abs(group["list"][0].as_py()) % 2**31)
-    return pa.table([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
+def _edges(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table([pa.array(ids[far]), pa.array(ids[label[far]])], names=["u", "v"])
+
+
+def _searched(rows: DataFrame, recall: float, shares: int) -> DataFrame:
+    """(u, v) that connect each class found in a list; `shares` tasks have a list, each a part of the strips."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, f = _ids_and_prints(group)
+        label = joined(f, np.arange(len(ids)), abs(group["list"][0].as_py()) % 2**31, recall, 0, group["share"][0].as_py(), shares)
+        release()
+        return _edges(ids, label)
+
+    return rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).groupBy("list", "share").applyInArrow(run, "u long, v long")
 
 
 def _block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -204,26 +301,27 @@ def _block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         ids, f = _ids_and_prints(group)
-        found = _merge(brute_lists(f, np.arange(len(ids)), np.zeros(len(ids), np.int8)))
-        return pa.table([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
+        return _edges(ids, long_list(f, np.arange(len(ids)), math.inf)[0])
 
     return paired.groupBy("list", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def linked(prints: DataFrame, scratch: Scratch, recall: float = RECALL, seed: int = 11) -> DataFrame:
-    """(u, v) for each linked pair of distinct fingerprints (id, f0..f3), each pair once."""
+    """(u, v) that connect the classes of distinct fingerprints (id, f0..f3): for each list and class one link fewer than it has rows, whatever the pairs."""
     n = prints.count()
     rows = prints.select(F.lit(0).cast("long").alias("list"), "id", "f0", "f1", "f2", "f3")
     bits = max(0, round(math.log(max(n, 1) / FIRST_LIST) / -math.log(AGREE)))
-    found, depth = [], 0
+    found, depth, strips_of_all = [], 0, repeats(bits, recall, 0.97) if bits else 1
     if bits:
-        rows = _spread(rows, strips(seed, repeats(bits, recall, 0.97), bits))
+        rows = _spread(rows, strips(seed, strips_of_all, bits))
+    shares = max(1, min(math.ceil(TASKS / strips_of_all / 2**bits), n // SHARE))
     while True:
+        inner = 0.97 if bits or depth else recall
         sizes = scratch.table(rows.groupBy("list").count().where(F.col("count") > MOST_LIST), f"large-{depth}")
         if sizes.isEmpty():
-            found.append(rows.groupBy("list").applyInArrow(_search, "u long, v long"))
+            found.append(_searched(rows, inner, shares))
             break
-        found.append(rows.join(sizes, "list", "left_anti").groupBy("list").applyInArrow(_search, "u long, v long"))
+        found.append(_searched(rows.join(sizes, "list", "left_anti"), inner, shares))
         rows = scratch.table(rows.join(sizes, "list", "left_semi"), f"rows-{depth}")
         depth += 1
         if depth > DEPTH:
@@ -233,15 +331,37 @@ def linked(prints: DataFrame, scratch: Scratch, recall: float = RECALL, seed: in
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    ordered = every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return scratch.table(ordered.where("u <> v").distinct(), "links")
+    return scratch.table(every, "links")
+
+
+def degrees(prints: DataFrame, roots_: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, far): texts of the other fingerprints to which each is linked. Linked ones are of one class, so that each class is compared whole; pairs are counted where they are met."""
+    members = scratch.table(prints.join(roots_.withColumnRenamed("node", "id"), "id"), "members")
+    parts = max(1, members.count() // PART)
+    large = scratch.table(members.groupBy("root").count().where(F.col("count") > BLOCK), "large-classes")
+    columns = ["part", "i", "j", "side", "root", "id", "n_texts", "f0", "f1", "f2", "f3"]
+    none = F.lit(-1)
+    whole = members.join(large, "root", "left_anti").withColumn("part", F.pmod(F.xxhash64("root"), F.lit(parts))).withColumns({"i": none, "j": none, "side": none})
+    own = members.join(large, "root").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"part": F.col("root"), "i": F.least("side", "other"), "j": F.greatest("side", "other")})
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("root")
+        f = np.stack([group[f"f{i}"].to_numpy().view(np.uint64) for i in range(4)])
+        side = group["side"].to_numpy() if group["i"][0].as_py() != group["j"][0].as_py() else None
+        far = links_within(f, group["n_texts"].to_numpy(), group["root"].to_numpy(), side)
+        release()
+        return pa.table([group["id"].combine_chunks(), pa.array(far)], names=["id", "far"])
+
+    counted = whole.select(*columns).unionByName(blocks.select(*columns)).groupBy("part", "i", "j").applyInArrow(run, "id long, far long")
+    return counted.groupBy("id").agg(F.sum("far").alias("far"))
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) for each document.
 
     class_id: the smallest doc_id of its class of linked and equal texts. n_links: other
-    texts to which its text is linked. n_copies: rows with an equal text. A text
+    texts to which its text is linked (all within its class, met in a strip or not). n_copies: rows with an equal text. A text
     without words, or null, is only in a class with its equals; nulls are equal. Null ids
     name no class (class_id is null where all are null). An empty table gives no row.
     """
@@ -254,10 +374,9 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     # texts of one fingerprint are linked; one of their hashes is the node that stands for them
     prints = scratch.table(worded.groupBy(*f).agg(F.min("a").alias("id"), F.count("*").alias("n_texts")), "prints")
     links = linked(prints, scratch, recall)
-    roots = components(links, scratch)
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(prints.select(F.col("id").alias("v"), "n_texts"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n_texts").alias("far"))
-    known = prints.join(degree, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    roots_of_all = components(links, scratch)
+    degree = degrees(prints, roots_of_all, scratch)
+    known = prints.join(degree, "id", "left").join(roots_of_all.withColumnRenamed("node", "id"), "id", "left")
     known = known.select(*f, F.coalesce("root", "id").alias("root"), (F.coalesce("far", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
     placed = worded.join(known, f).select("a", "b", "first", "n_copies", "root", "n_links")
     placed = scratch.table(placed.unionByName(texts.where("n_words = 0").select("a", "b", "first", "n_copies", F.col("a").alias("root"), F.lit(0).cast("long").alias("n_links"))), "placed")

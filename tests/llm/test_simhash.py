@@ -97,3 +97,17 @@ def test_components(spark, monkeypatch, one):
     assert {k: v for k, v in zip(nodes.tolist(), roots.tolist()) if k not in lone or k != v} == {k: v for k, v in got.items() if k not in lone or k != v}
     assert got[300] == -9 and got[-5] == -9
     assert components.components(spark.createDataFrame([], "u long, v long"), shared.Scratch(spark)).collect() == []
+
+
+@pytest.mark.parametrize("block", [16_000, 100])
+def test_a_large_class_is_not_listed_pair_by_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block, raising=False)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:k], f"x{i}", *words[k + 1 :]])) for i, k in enumerate(r.choices(range(400), k=600))]
+    raw, at = shared.texts_of(pa.array([t for _, t in rows]))
+    f = np.unique(S.fingerprints(raw, at)[0], axis=0)
+    prints = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(f.view(np.int64))], "id long, f0 long, f1 long, f2 long, f3 long")
+    assert len(f) > 300 and S.linked(prints, shared.Scratch(spark)).count() < 2 * len(f)
+    assert [(r.class_id, r.n_links) for r in S.classes(spark.createDataFrame([(*x, 1, "c") for x in rows], SCHEMA)).collect()] == [(0, 599)] * 600
+    check(spark, list(enumerate(texts(6))))
