@@ -111,3 +111,9 @@ def test_a_large_class_is_not_listed_pair_by_pair(spark, monkeypatch, block):
     assert len(f) > 300 and S.linked(prints, shared.Scratch(spark)).count() < 2 * len(f)
     assert [(r.class_id, r.n_links) for r in S.classes(spark.createDataFrame([(*x, 1, "c") for x in rows], SCHEMA)).collect()] == [(0, 599)] * 600
     check(spark, list(enumerate(texts(6))))
+
+
+def test_tasks_that_share_a_list_find_its_classes(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 100)
+    monkeypatch.setattr(S, "SMALL", 8)
+    check(spark, list(enumerate(texts(7))))
