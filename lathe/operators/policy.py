@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,11 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def exact_path(pattern: str) -> str | None:
+    """The one path that a glob without wildcards matches; None for others."""
+    return None if re.search(r"[*?\[{\\]", pattern) else pattern
+
+
 def check_rules(names, what: str) -> None:
     for n in names:
         if n not in RULES:
@@ -64,30 +70,42 @@ def check_rules(names, what: str) -> None:
 
 
 def groups_frame(spark, groups: list[tuple[list[str], list[str]]]) -> DataFrame:
-    """(grp, re, rules) from (globs, rules) of each group: as many rows as the configuration has globs."""
-    rows = [(g, glob_regex(p), rules) for g, (globs, rules) in enumerate(groups) for p in globs]
-    return spark.createDataFrame(rows, "grp int, re string, rules array<string>")
+    """(grp, re, rules, exact) from (globs, rules) of each group: as many rows as the configuration has globs. exact: the path that one without wildcards matches."""
+    rows = [(g, glob_regex(p), rules, exact_path(p)) for g, (globs, rules) in enumerate(groups) for p in globs]
+    return spark.createDataFrame(rows, "grp int, re string, rules array<string>, exact string")
 
 
 def matched_rules(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rel, rules): all rules of the groups that match; a theta join with the broadcast globs (bounded by the configuration)."""
-    hit = files.select("rel").distinct().join(F.broadcast(groups), F.regexp_like("rel", F.col("re")))
+    """(rel, rules): all rules of the groups that match; a theta join with the broadcast globs (bounded by the configuration), of which those without wildcards are looked up."""
+    paths = files.select("rel").distinct()
+    globs, exact = groups.where("exact is null"), groups.where("exact is not null")
+    hit = paths.join(F.broadcast(globs), F.regexp_like("rel", F.col("re"))).unionByName(paths.join(F.broadcast(exact), F.col("rel") == F.col("exact")))
     return hit.select("rel", F.explode("rules").alias("rule")).groupBy("rel").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
-def policies(files: DataFrame, groups: DataFrame, white: bool, skipped: DataFrame | None = None) -> DataFrame:
-    """files with (skip, enabled, disabled). white: groups include, and a file that none matches runs nothing; else they exclude.
+def policies(files: DataFrame, groups: DataFrame | None, white: bool, skipped: Sequence[str] = ()) -> DataFrame:
+    """files with (skip, enabled, disabled). white: groups include, and a file that none matches runs nothing; else they exclude. skipped: globs.
 
     A file outside the configuration's folder has a null `rel`, and an empty policy.
     """
     rules = F.coalesce("rules", F.array().cast("array<string>"))
-    out = files.join(matched_rules(files.where("rel is not null"), groups), "rel", "left")
+    if groups is None:
+        out = files.withColumn("rules", F.lit(None).cast("array<string>"))
+    else:
+        out = files.join(matched_rules(files.where("rel is not null"), groups), "rel", "left")
     inside = F.col("rel").isNotNull()
     out = out.withColumn("enabled", F.when(inside & F.lit(white), rules)).withColumn("disabled", F.when(inside & F.lit(not white), rules).otherwise(F.array().cast("array<string>"))).drop("rules")
-    if skipped is None:
-        return out.withColumn("skip", F.lit(False))
-    hit = files.where("rel is not null").select("rel").distinct().join(F.broadcast(skipped), F.regexp_like("rel", F.col("re"))).select("rel", F.lit(True).alias("skip")).distinct()
-    return out.join(hit, "rel", "left").withColumn("skip", F.coalesce("skip", F.lit(False)))
+    skip, spark = F.lit(False), files.sparkSession
+    exact = {p for p in map(exact_path, skipped) if p is not None}
+    if exact:  # a list of files may be as long as the table: each file looks itself up
+        out = out.join(F.broadcast(spark.createDataFrame([(p, True) for p in sorted(exact)], "rel string, __exact boolean")), "rel", "left")
+        skip = skip | F.col("__exact").isNotNull()
+    globs = [(glob_regex(g),) for g in skipped if exact_path(g) is None]
+    if globs:
+        hit = files.where("rel is not null").select("rel").distinct().join(F.broadcast(spark.createDataFrame(globs, "re string")), F.regexp_like("rel", F.col("re")))
+        out = out.join(hit.select("rel", F.lit(True).alias("__glob")).distinct(), "rel", "left")
+        skip = skip | F.col("__glob").isNotNull()
+    return out.withColumn("skip", skip).drop("__exact", "__glob")
 
 
 def override(policy: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
@@ -136,4 +154,6 @@ def link_threshold(ext: Column, by_extension: dict[str, int], everywhere: int |
 
 def dead_globs(groups: DataFrame, files: DataFrame) -> DataFrame:
     """(grp, re) of globs that no file matches."""
-    return groups.join(files.select("rel").distinct(), F.regexp_like("rel", F.col("re")), "left_anti").select("grp", "re")
+    paths = files.select("rel").distinct()
+    globs, exact = groups.where("exact is null"), groups.where("exact is not null")
+    return globs.join(paths, F.regexp_like("rel", F.col("re")), "left_anti").unionByName(exact.join(paths, F.col("rel") == F.col("exact"), "left_anti")).select("grp", "re")

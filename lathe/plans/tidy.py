@@ -27,10 +27,9 @@ def with_policy(files: DataFrame, config: Config | None, include=(), exclude=())
     base = config.base.rstrip("/") + "/"
     rel = F.when(F.startswith("path", F.lit(base)), F.substring("path", len(base) + 1, 1 << 20))
     rel = F.col("path") if config.base == "." else rel
-    spark = files.sparkSession
-    groups = policy.groups_frame(spark, config.include or config.exclude)
-    skipped = spark.createDataFrame([(policy.glob_regex(g),) for g in config.exclude_files], "re string") if config.exclude_files else None
-    out = policy.policies(files.withColumn("rel", rel), groups, bool(config.include), skipped).drop("rel")
+    named = config.include or config.exclude
+    groups = policy.groups_frame(files.sparkSession, named) if named else None
+    out = policy.policies(files.withColumn("rel", rel), groups, bool(config.include), config.exclude_files).drop("rel")
     out = policy.override(out, list(include), list(exclude))
     return out.withColumn("links_min", policy.link_threshold(F.col("ext"), config.by_extension, config.least))
 

@@ -202,3 +202,13 @@ def test_stream(spark, tmp_path):
     q = tidy_stream.start(tidy_stream.fixed(tidy_stream.arriving(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0].text == "| a  |\n| -- |\n| bb |\n"
+
+
+def test_listed_files_are_looked_up(spark):
+    df = spark.createDataFrame([("a.rs",), ("b.rs",), ("d/c.md",), ("a.rs",), ("axrs",), (None,)], "rel string")
+    out = policy.policies(df, policy.groups_frame(spark, [(["b.rs", "*.md"], ["vis"]), (["d/*", "b.rs"], ["tables"])]), False, ["a.rs", "d/**", "none.rs"])
+    assert sorted((r.rel or "", r.skip, r.disabled) for r in out.collect()) == [("", False, []), ("a.rs", True, []), ("a.rs", True, []), ("axrs", False, []), ("b.rs", False, ["tables", "vis"]), ("d/c.md", True, ["tables"])]
+    listed = tidy.with_policy(spark.range(9).selectExpr("concat('f', id, '.rs') as path", "'rs' as ext"), config.Config(exclude_files=[f"f{i}.rs" for i in range(0, 9, 2)]))
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "hashpartitioning" not in plan and listed.where("skip").count() == 5
+    assert sorted(r.re for r in policy.dead_globs(policy.groups_frame(spark, [(["a.rs", "e/*", "e.rs", "*.rs"], [])]), df).collect()) == ["^e/[^/]*$", "^e\\.rs$"]
