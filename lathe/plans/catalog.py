@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lathe.functions import columns as C
 from lathe.operators import graph, links, lints, parse, policy, records, reorder, tables, texts, vis
 from lathe.plans import tidy
-from lathe.sources.files import first_spelling
+from lathe.sources.files import first_spelling, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def _table(spark: SparkSession, sf: str, name: str, *expressions: str) -> DataFr
     return df.selectExpr(*expressions) if expressions else df
 
 
+def _files(spark: SparkSession, sf: str, name: str, *expressions: str) -> DataFrame:
+    """A table of files, spread over tasks before its texts are made."""
+    return spread(_table(spark, sf, name)).selectExpr(*expressions)
+
+
 NL = "chr(10)"
 
 
@@ -56,7 +61,7 @@ RUST = (
 
 
 def rust_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "part", "concat('src/p', p_partkey, '.rs') as path", "'rs' as ext", f"{RUST} as text", "cast(p_partkey as int) as pos")
+    return _files(spark, sf, "part", "concat('src/p', p_partkey, '.rs') as path", "'rs' as ext", f"{RUST} as text", "cast(p_partkey as int) as pos")
 
 
 LINTS = """with p as (select concat('src/p', p_partkey, '.rs') as path, concat('f', p_partkey) as f, concat('test_', p_partkey) as t, p_partkey % 3 as v, p_size % 5 as d, p_size % 2 = 0 as r,
@@ -125,7 +130,7 @@ TABLE = _lines("'text before'", "'| name|seg |'", "'|:--|--:|'", "concat('| ', c
   select concat('c', c_custkey, '.md') as path, concat('text before', chr(10), '| ', rpad('name', a, ' '), ' | ', lpad('seg', b, ' '), ' |', chr(10), '| :', repeat('-', a - 1), ' | ', repeat('-', b - 1), ': |', chr(10),
   '| ', rpad(c_name, a, ' '), ' | ', lpad(c_mktsegment, b, ' '), ' |', chr(10), '| ', rpad('x', a, ' '), ' | ', lpad(cast(c_custkey as varchar), b, ' '), ' |', chr(10)) as new_text from w""")
 def table_realign(spark, sf):
-    files = _table(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{TABLE} as text")
+    files = _files(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{TABLE} as text")
     return texts.fix_tables(files).select("path", "new_text")
 
 
@@ -186,7 +191,7 @@ def link_first_url_wins(spark, sf):
 def link_rewrite(spark, sf):
     link = "concat('[', c_mktsegment, '](https://x.y/', c_custkey, ')')"
     text = f"case when c_nationkey % 2 = 0 then concat('See ', {link}, ' and ', {link}, '.', {NL}, 'End [one](only)', {NL}) else concat('See ', {link}, '.', {NL}, '```', {NL}, {link}, {NL}, '```', {NL}) end"
-    return texts.fix_links(_table(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{text} as text"), 2).select("path", "new_text")
+    return texts.fix_links(_files(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{text} as text"), 2).select("path", "new_text")
 
 
 @query("select concat('s', s_suppkey) as path, s_name as label from supplier where s_suppkey % 3 <> 0")
@@ -211,7 +216,7 @@ def fence_flips(spark, sf):
         f"case event_id % 3 when 0 then concat('```md', {NL}, '```rust', {NL}, 'x', {NL}, '```', {NL}, '```', {NL}) "
         f"when 1 then concat('~~~a', {NL}, '```b', {NL}, '```c', {NL}, '```', {NL}, '```', {NL}, '~~~', {NL}) else concat('```', {NL}, 'x', {NL}, '```', {NL}) end"
     )
-    fixed = texts.fix_fences(_table(spark, sf, "events", "event_id as path", "'md' as ext", f"{text} as text"))
+    fixed = texts.fix_fences(_files(spark, sf, "events", "event_id as path", "'md' as ext", f"{text} as text"))
     return records.fix_records(fixed, "fences").select("path", "line", "message")
 
 
@@ -379,7 +384,7 @@ ORDERED = _lines("concat('fn b', s_suppkey, '() {}')", "''", "concat('pub fn a',
 @query("""select concat('s', s_suppkey, '.rs') as path, concat('use x::y;', chr(10), chr(10), 'const Z: u8 = 1;', chr(10), chr(10), 'struct S;', chr(10), chr(10), 'pub fn a', s_suppkey, '() { helper(); }', chr(10), chr(10),
   'fn b', s_suppkey, '() {}', chr(10), chr(10), 'fn helper() {}', chr(10)) as new_text, false as failed from supplier""")
 def reordered_files(spark, sf):
-    return reorder.reorder(_table(spark, sf, "supplier", "concat('s', s_suppkey, '.rs') as path", "'rs' as ext", f"{ORDERED} as text")).select("path", "new_text", F.col("broken").alias("failed"))
+    return reorder.reorder(_files(spark, sf, "supplier", "concat('s', s_suppkey, '.rs') as path", "'rs' as ext", f"{ORDERED} as text")).select("path", "new_text", F.col("broken").alias("failed"))
 
 
 @query(LINTS + """select path, to_json(struct_pack(path := path, line := line, severity := severity, code := code, message := message, item_kind := 'fn', item_name := item_name))::varchar as json from l""")
@@ -402,6 +407,6 @@ def tidy_dry_run(spark, sf):
 @query("""select concat('c', c_custkey, '.md') as path, concat('```md', chr(10), '~~~rust', chr(10), c_name, chr(10), '~~~', chr(10), '```', chr(10), '[', c_mktsegment, '] here', chr(10), chr(10), '[', c_mktsegment, ']: u', c_custkey, chr(10)) as new_text, true as processed from customer""")
 def tidy_apply_markdown(spark, sf):
     text = f"concat('```md', {NL}, '```rust', {NL}, c_name, {NL}, '```', {NL}, '```', {NL}, '[', c_mktsegment, '](u', c_custkey, ') here', {NL})"
-    files = _table(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{text} as text", "cast(c_custkey as int) as pos")
+    files = _files(spark, sf, "customer", "concat('c', c_custkey, '.md') as path", "'md' as ext", f"{text} as text", "cast(c_custkey as int) as pos")
     out, _ = tidy.tidy(files, mode="apply")
     return out.select("path", "new_text", "processed")

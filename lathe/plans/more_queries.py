@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lathe import __main__ as command
 from lathe.operators import graph, lints, parse, policy, records, reorder, tables, texts, vis
 from lathe.plans import tidy
-from lathe.plans.catalog import GROUPS, KIND, LEAF, LINTS, MATCHED, NARROW, NL, PATHS, _crate, _lines, _nation_links, _table, query, rust_files
+from lathe.plans.catalog import GROUPS, KIND, LEAF, LINTS, MATCHED, NARROW, NL, PATHS, _crate, _files, _lines, _nation_links, _table, query, rust_files
 from lathe.sources import config, files, scratch, sinks
 
 K = "cast(p_partkey as string)"
@@ -48,7 +48,7 @@ def _values(rows) -> str:
   test = 1 as is_test_module, inl = 1 as is_inline, tr = 1 as is_trait_impl, res = 1 as returns_result, cast(params as int) as n_params from part join k on p_partkey % {len(ITEMS)} = k""")
 def item_kinds(spark, sf):
     text = f"concat({NL}, case p_partkey % {len(ITEMS)} " + " ".join(f"when {i} then {x[0]}" for i, x in enumerate(ITEMS)) + f" end, {NL})"
-    found = parse.items(parse.scan(_table(spark, sf, "part", "concat('i', p_partkey) as path", f"{text} as text")))
+    found = parse.items(parse.scan(_files(spark, sf, "part", "concat('i', p_partkey) as path", f"{text} as text")))
     return found.select("path", "start_line", "kind", "name", "impl_target", "vis", "is_test_module", "is_inline", "is_trait_impl", "returns_result", F.size("params").alias("n_params"))
 
 
@@ -81,7 +81,7 @@ def phase_edges(spark, sf):
   'impl Clone for S', p_partkey, ' {}', chr(10), chr(10), 'pub fn b() { z() }', chr(10), chr(10), 'fn a() {}', chr(10), chr(10), 'fn z() {}', chr(10)) as new_text, false as broken from part""")
 def reordered_macros_and_impls(spark, sf):
     text = f"concat('fn z() {{}}', {NL}, 'm', {K}, '!();', {NL}, 'macro_rules! m', {K}, ' {{ () => {{}}; }}', {NL}, 'fn a() {{}}', {NL}, 'pub fn b() {{ z() }}', {NL}, 'impl Clone for S', {K}, ' {{}}', {NL}, 'impl S', {K}, ' {{}}', {NL}, 'struct S', {K}, ';', {NL}, 'use b::c;', {NL})"
-    return reorder.reorder(_table(spark, sf, "part", "concat('p', p_partkey, '.rs') as path", f"{text} as text")).select("path", "new_text", "broken")
+    return reorder.reorder(_files(spark, sf, "part", "concat('p', p_partkey, '.rs') as path", f"{text} as text")).select("path", "new_text", "broken")
 
 
 @query("""select p_partkey // 50 as path from part group by p_partkey // 50 having (p_partkey // 50) % 3 <> 0 and count(*) > 1""")
@@ -114,7 +114,7 @@ def doc_comment_tables(spark, sf):
     width = "cast(greatest(length(c_name), 4) as int)"
     line = lambda a, b: f"{PREFIX}, case when c_custkey % 5 = 0 then concat('| ', {a}, ' | ', {b}, ' |') else concat('|', trim({a}), '|', trim({b}), '|') end, {END}"
     text = "concat(" + ", ".join([line(f"rpad('name', {width}, ' ')", "'k '"), line(f"repeat('-', {width})", "'--'"), line(f"rpad(c_name, {width}, ' ')", "concat('v', cast(c_custkey % 3 as string))")]) + ")"
-    fixed = texts.fix_tables(_table(spark, sf, "customer", "concat('c', c_custkey) as path", "'md' as ext", f"{text} as text"))
+    fixed = texts.fix_tables(_files(spark, sf, "customer", "concat('c', c_custkey) as path", "'md' as ext", f"{text} as text"))
     return fixed.join(records.fix_records(fixed, "tables").where("code = 'FIX' and message = 'tables were aligned'").groupBy("path").agg(F.count("*").cast("int").alias("n")), "path", "left").select("path", "new_text", F.coalesce("n", F.lit(0)).alias("n_records"))
 
 
@@ -124,7 +124,7 @@ def doc_comment_links(spark, sf):
     """Each block of documentation comments gets its definitions; code in between stays."""
     link = "concat('[', c_mktsegment, '](u', c_custkey, ')')"
     text = f"concat('//! See ', {link}, ' and ', {link}, '.', {END}, 'fn a() {{}}', {END}, '/// x ', {link}, {END}, '/// y [o](p)', {END}, 'fn b() {{ \"', {link}, '\" }}', {END})"
-    fixed = texts.fix_links(_table(spark, sf, "customer", "concat('c', c_custkey) as path", "'rs' as ext", f"{text} as text"), 2)
+    fixed = texts.fix_links(_files(spark, sf, "customer", "concat('c', c_custkey) as path", "'rs' as ext", f"{text} as text"), 2)
     found = records.fix_records(fixed, "links").select("path", F.element_at(F.split("message", "` -> `"), 1).alias("old"))
     return fixed.join(found, "path").select("path", "new_text", "old")
 
@@ -165,7 +165,7 @@ def dead_globs(spark, sf):
 def narrowed_inline_modules(spark, sf):
     """A restricted inline module sets a floor for what is in it; a file's own floor goes for the rest."""
     text = f"concat('pub fn a', s_suppkey, '() {{}}', {NL}, case when s_suppkey % 2 = 0 then 'pub' else 'pub(crate)' end, ' mod inner {{', {NL}, '    pub fn x() {{}}', {NL}, '}}', {NL})"
-    rows = _table(spark, sf, "supplier", "concat('s', s_suppkey) as path", f"{text} as text", "case when s_suppkey % 2 = 0 then 'pub(crate)' end as floor", "cast(null as array<string>) as blocked")
+    rows = _files(spark, sf, "supplier", "concat('s', s_suppkey) as path", f"{text} as text", "case when s_suppkey % 2 = 0 then 'pub(crate)' end as floor", "cast(null as array<string>) as blocked")
     return vis.narrow_files(rows).select("path", "new_text")
 
 
@@ -183,7 +183,7 @@ def crate_context_files(spark, sf):
   union all select concat('s', s_suppkey), false, true, null from supplier where s_suppkey % 4 = 2""")
 def rust_gate(spark, sf):
     """Reordering is for Rust alone; a text that isn't UTF-8 fails; a file that its configuration skips isn't processed."""
-    rows = _table(spark, sf, "supplier", "concat('s', s_suppkey) as path", "case s_suppkey % 4 when 1 then 'md' else 'rs' end as ext", f"case when s_suppkey % 4 <> 2 then concat('fn b() {{}}', {NL}, 'fn a() {{}}', {NL}) end as text", "cast(s_suppkey as int) as pos", "s_suppkey as k")
+    rows = _files(spark, sf, "supplier", "concat('s', s_suppkey) as path", "case s_suppkey % 4 when 1 then 'md' else 'rs' end as ext", f"case when s_suppkey % 4 <> 2 then concat('fn b() {{}}', {NL}, 'fn a() {{}}', {NL}) end as text", "cast(s_suppkey as int) as pos", "s_suppkey as k")
     skip = [f"s{r.k}" for r in rows.where("k % 4 = 3").select("k").collect()]
     out, _ = tidy.tidy(rows, config.Config(exclude_files=skip), mode="apply")
     return out.select("path", "processed", "failed", "new_text")
@@ -194,7 +194,7 @@ def rust_gate(spark, sf):
   union all select concat('{"path":"n', n_nationkey, '","line":4,"severity":"success","code":"FIX","message":"flip nested fence at line 4","item_kind":"fence","item_name":null}') from nation""")
 def records_json_nulls(spark, sf):
     table = "concat(case when c_custkey % 5 = 0 then concat('| ab |', chr(10), '| -- |', chr(10)) else concat('|ab|', chr(10), '|-|', chr(10)) end)"
-    one = texts.fix_tables(_table(spark, sf, "customer", "concat('c', c_custkey) as path", "'md' as ext", f"{table} as text"))
+    one = texts.fix_tables(_files(spark, sf, "customer", "concat('c', c_custkey) as path", "'md' as ext", f"{table} as text"))
     two = texts.fix_fences(_table(spark, sf, "nation", "concat('n', n_nationkey) as path", "'md' as ext", _lines("'```md'", "'```rust'", "'x'", "'```'", "'```'") + " as text"))
     return records.json_objects(records.fix_records(one, "tables").unionByName(records.fix_records(two, "fences"))).select("json")
 

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of short compressed rows that one task takes, and the most tasks that rows are spread over.
+SPREAD_BYTES, SPREAD_TASKS = 128 << 10, 1 << 14
 EXTENSIONS = ("rs", "md")
 
 
@@ -142,6 +144,17 @@ def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     return listed.join(read, "canonical").select("path", extension(F.col("path")).alias("ext"), "content", "pos", "canonical", "inode")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows in tasks of about SPREAD_BYTES of the Parquet files that they are read from.
+
+    A scan takes a row group whole, so that one task would get all of a table of short rows, and all the work on the
+    texts that are made of them. Rows move as they are read: only columns that are used do.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(-(-size // SPREAD_BYTES), SPREAD_TASKS)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def first_spelling(files: DataFrame, canonical: str = "canonical", inode: str = "inode", pos: str = "pos") -> DataFrame:
     """One row of each file: the first spelling of a canonical path, then the first of an inode."""
     for key in (canonical, inode):

@@ -5,6 +5,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from lathe.functions import text as K
 from lathe.operators import graph, links, lints, parse, policy, records, reorder, tables, texts, vis
@@ -212,3 +213,13 @@ def test_listed_files_are_looked_up(spark):
     plan = listed._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "hashpartitioning" not in plan and listed.where("skip").count() == 5
     assert sorted(r.re for r in policy.dead_globs(policy.groups_frame(spark, [(["a.rs", "e/*", "e.rs", "*.rs"], [])]), df).collect()) == ["^e/[^/]*$", "^e\\.rs$"]
+
+
+def test_short_rows_are_spread(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "uuid() as more").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = files.spread(spark.read.parquet(str(tmp_path / "t")))
+    sizes = rows.selectExpr("id % 2 as x", "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 30_000 and sum(r["count"] for r in sizes) == 200_000
+    assert "more" not in rows.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert rows.select("id").distinct().count() == 200_000
+    assert files.spread(spark.read.parquet("/root/testdata/sf0.001/part.parquet")).rdd.getNumPartitions() == 1
