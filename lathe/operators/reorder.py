@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +20,8 @@ PHASES = [
 
 def lines_kept(old: str, new: str) -> bool:
     """Equal multisets of non-blank lines, and one dominant line ending."""
-    count = lambda t: Counter(x for x in (line.removesuffix("\r") for line in t.split("\n")) if x.strip(SPACE))
-    return count(old) == count(new) and line_ending(old) == line_ending(new)
+    kept = lambda t: sorted(x for line in t.split("\n") if (x := line.removesuffix("\r")).strip(SPACE))
+    return kept(old) == kept(new) and line_ending(old) == line_ending(new)
 
 
 MOVES = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("message", pa.string())]))

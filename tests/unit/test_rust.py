@@ -1,5 +1,7 @@
 """The scanner, the order of items, narrowing."""
 
+import time
+
 import pytest
 
 from lathe.functions import ordering
@@ -113,3 +115,10 @@ def test_reexports_and_narrowing():
     assert got == "pub(crate) fn a() {}\npub(super) fn b() {}\npub use m::c;\npub fn c() {}\npub(super) mod i { pub(super) fn d() {} mod j { pub(super) struct E; } }\nmod k { pub(crate) fn f() {} }\n"
     assert narrow(text, Scan(text), None, {"c"}).count("pub(super) fn d") == 1
     assert narrow(text, Scan(text), "pub(crate)", {"*"}) == text
+
+
+def test_long_chains_take_linear_time():
+    n = 20_000
+    began = time.process_time()
+    assert ordering.waves([f"f{i}" for i in range(n)], [(i, i + 1) for i in range(n - 1)]) == list(range(n))
+    assert time.process_time() - began < 5
