@@ -223,3 +223,11 @@ def test_short_rows_are_spread(spark, tmp_path):
     assert "more" not in rows.select("id")._jdf.queryExecution().executedPlan().toString()
     assert rows.select("id").distinct().count() == 200_000
     assert files.spread(spark.read.parquet("/root/testdata/sf0.001/part.parquet")).rdd.getNumPartitions() == 1
+
+
+def test_suppression_moves_one_row_a_file(spark):
+    found = spark.createDataFrame([("a", "DOC001"), ("a", "DOC002"), ("b", "DOC001"), ("c", "DOC003"), (None, "DOC001")], "path string, code string")
+    rows = spark.createDataFrame([("a", None, ["DOC001"]), ("b", ["tables"], []), ("b", None, []), ("c", None, []), (None, ["tables"], [])], "path string, enabled array<string>, disabled array<string>")
+    out = policy.suppress(found, rows)
+    assert out.columns == ["path", "code"] and sorted(map(str, ((r.path, r.code) for r in out.collect()))) == ["('a', 'DOC002')", "('c', 'DOC003')", "(None, 'DOC001')"]
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
